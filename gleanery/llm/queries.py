@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import neighbours
+from gleanery.llm import clusters, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": clusters.p1_found,
+    "p1_typical": clusters.p1_typical,
     "p2_found": neighbours.p2_found,
 }
 
@@ -24,7 +26,16 @@ pairs as (
   where list_cosine_similarity(a.v, b.v) >= 0.8499)
 """
 
+_CLUSTERS = f"""with recursive {_COSINES},
+links as (select a, b from pairs where c >= 0.85 union all select feature_id, feature_id from usable),
+reach(a, b) as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+tagged as (select a as feature_id, min(b) as cluster_key from reach group by a)
+"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": f"""{_CLUSTERS}
+select cluster_key, feature_id from tagged
+where cluster_key in (select cluster_key from tagged group by cluster_key having count(*) >= 3)""",
     "p2_found": f"""with {_COSINES},
 ranked as (select a, b, row_number() over (partition by a order by c desc, b) as r from pairs where c >= 0.85)
 select distinct least(a, b) as feature_a, greatest(a, b) as feature_b from ranked where r <= 5""",
