@@ -23,79 +23,94 @@ from gleanery.llm.kdtree import KdTree
 from gleanery.llm.vectors import SLACK, cosines, distinct_vectors, matrix, unit
 from gleanery.scratch import Scratch
 
-_FOUND = "rep long, miss double, dist double, best array<struct<c:double,other:long>>"
+_STATE = "rep long, vec array<float>, miss double, best array<struct<c:double,other:long>>"
 
 
-def _search_leaf(tree: KdTree, dim: int, k: int, limit: float, radius: float):
-    """For each asking row of one leaf: its k best classes in the leaf, and the chance that it missed one."""
+def _listed(rank_c: np.ndarray, other: np.ndarray, counts: np.ndarray) -> pa.Array:
+    flat = pa.StructArray.from_arrays([pa.array(rank_c), pa.array(other)], names=["c", "other"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
+
+
+def _start(points: DataFrame) -> DataFrame:
+    return points.select(
+        "rep", "vec", F.lit(1.0).alias("miss"), F.expr("cast(array() as array<struct<c:double,other:long>>)").alias("best")
+    )
+
+
+def _leaf_of(tree: KdTree, dim: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            leaf = tree.leaves(unit(matrix(b.column("vec"), dim))) if b.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaf)], [*b.schema.names, "leaf"])
+
+    return run
+
+
+def _search_leaf(tree: KdTree, dim: int, k: int, limit: float, radius: float, sure: float):
+    """Rows of one leaf with what they had found before -> the same rows with the leaf's finds merged in. Rows with
+    miss <= 1 - sure no longer ask."""
 
     def run(table: pa.Table) -> pa.Table:
-        rep = table["rep"].to_numpy()
-        o = np.argsort(rep, kind="stable")
-        rep, u = rep[o], unit(matrix(table["vec"], dim)[o])
-        asks = np.flatnonzero(table["asks"].to_numpy()[o])
+        table = table.sort_by("rep").combine_chunks()
+        rep, miss = table["rep"].to_numpy(), table["miss"].to_numpy().copy()
+        u = unit(matrix(table["vec"], dim))
+        asks = np.flatnonzero(miss > 1 - sure)
         small = np.ascontiguousarray(u.astype(np.float32))
-        got_c: list[np.ndarray] = []
-        got_o: list[np.ndarray] = []
-        counts = np.zeros(len(asks), dtype=np.int64)
-        dist = np.full(len(asks), radius)
+        best = table["best"].combine_chunks()
+        had = best.value_lengths().to_numpy(zero_copy_only=False)
+        old = best.flatten()
+        rows_i, found_c, found_o = (
+            [np.repeat(np.arange(len(rep)), had)],
+            [old.field("c").to_numpy(zero_copy_only=False)],
+            [old.field("other").to_numpy(zero_copy_only=False)],
+        )
         step = max(1, 4_000_000 // max(1, len(rep)))
         for s in range(0, len(asks), step):
             rows = asks[s : s + step]
             sim = small[rows] @ small.T
             sim[np.arange(len(rows)), rows] = -2.0
-            kth = np.full(len(rows), limit - SLACK)
             near = sim >= limit - SLACK
             many = np.flatnonzero(near.sum(axis=1) > k)
             if len(many):
                 part = sim[many]
-                kth[many] = np.partition(part, part.shape[1] - k, axis=1)[:, -k] - SLACK
-                near[many] = part >= kth[many][:, None]
+                kth = np.partition(part, part.shape[1] - k, axis=1)[:, -k] - SLACK
+                near[many] = part >= np.maximum(kth, limit - SLACK)[:, None]
             i, j = np.nonzero(near)
             c = cosines(u, rows[i], j)
             ok = c >= limit
-            i, j, c = i[ok], j[ok], c[ok]
-            order = np.lexsort((j, -c, i))  # rows are sorted by id, so j ranks ids
-            i, j, c = i[order], j[order], c[order]
-            first = np.searchsorted(i, np.arange(len(rows)))
-            rank = np.arange(len(i)) - first[i]
-            ok = rank < k
-            i, j, c, rank = i[ok], j[ok], c[ok], rank[ok]
-            counts[s : s + len(rows)] = np.bincount(i, minlength=len(rows))
-            full = rank == k - 1
-            dist[s + i[full]] = np.sqrt(np.maximum(0.0, 2 - 2 * c[full]))
-            got_c.append(c)
-            got_o.append(rep[j])
-        miss = tree.beyond(u[asks], dist)
-        flat = pa.StructArray.from_arrays(
-            [pa.array(np.concatenate([np.zeros(0), *got_c])), pa.array(np.concatenate([np.zeros(0, np.int64), *got_o]))],
-            names=["c", "other"],
+            rows_i.append(rows[i[ok]])
+            found_c.append(c[ok])
+            found_o.append(rep[j[ok]])
+        i, c, o = np.concatenate(rows_i), np.concatenate(found_c), np.concatenate(found_o)
+        order = np.lexsort((o, -c, i))
+        i, c, o = i[order], c[order], o[order]
+        fresh = np.ones(len(i), bool)
+        fresh[1:] = (i[1:] != i[:-1]) | (o[1:] != o[:-1])
+        i, c, o = i[fresh], c[fresh], o[fresh]
+        rank = np.arange(len(i)) - np.searchsorted(i, np.arange(len(rep)))[i]
+        keep = rank < k
+        i, c, o, rank = i[keep], c[keep], o[keep], rank[keep]
+        dist = np.full(len(rep), radius)
+        full = rank == k - 1
+        dist[i[full]] = np.sqrt(np.maximum(0.0, 2 - 2 * c[full]))
+        miss[asks] *= tree.beyond(u[asks], dist[asks])
+        return pa.table(
+            {"rep": pa.array(rep), "vec": table["vec"], "miss": miss, "best": _listed(c, o, np.bincount(i, minlength=len(rep)))}
         )
-        best = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), flat)
-        return pa.table({"rep": pa.array(rep[asks]), "miss": miss, "dist": dist, "best": best})
-
-    return run
-
-
-def _leaf_of(tree: KdTree, dim: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            leaf = tree.leaves(unit(matrix(b.column("vec"), dim))) if b.num_rows else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("rep"), b.column("vec"), b.column("asks"), pa.array(leaf)], ["rep", "vec", "asks", "leaf"]
-            )
 
     return run
 
 
 def similar_classes(
-    points: DataFrame, dim: int, k: int, limit: float, scratch: Scratch, dims: int = 8, trees: int = 5,
-    leaf_rows: int = 4096, sample_rows: int = 16384, surety: float = 0.98, seed: int = 7,
+    points: DataFrame, dim: int, k: int, limit: float, dims: int = 8, trees: int = 5,
+    leaf_rows: int = 4096, sample_rows: int = 16384, sure: float = 0.98, seed: int = 7,
 ) -> DataFrame:
-    """(rep, best): for every distinct vector its k most similar other vectors with a cosine of ``limit`` or more.
+    """(rep, vec, miss, best): for every distinct vector its k most similar other vectors with a cosine of ``limit``
+    or more, and the bound of the chance that it missed one.
 
     The trees are fitted on about ``sample_rows`` rows, chosen by a hash of the id; every row is indexed. The leaves
-    hold leaf_rows to 2*leaf_rows rows whatever the number of rows, so work grows in proportion to it.
+    hold leaf_rows to 2*leaf_rows rows whatever the number of rows, so work grows in proportion to it. A row travels
+    with its finds from tree to tree: one shuffle of the rows per tree, and no join.
     """
     total = points.count()
     share = min(1.0, sample_rows / max(total, 1))
@@ -104,32 +119,11 @@ def similar_classes(
     fit = unit(matrix(sample["vec"], dim)) if sample.num_rows else np.zeros((0, dim))
     depth = max(0, int(math.log2(max(total, 1) / leaf_rows)))
     radius = math.sqrt(max(0.0, 2 - 2 * limit))
-    state: DataFrame | None = None
-    for t in range(trees):
+    state = _start(points)
+    for t in range(trees if depth else 1):  # one leaf holds all rows: nothing is missed
         tree = KdTree(fit, dims, depth, seed + t)
-        if state is None:
-            rows = points.select("rep", "vec", F.lit(True).alias("asks"))
-        else:
-            rows = points.join(state.select("rep", (F.col("miss") > 1 - surety).alias("asks")), "rep").select("rep", "vec", "asks")
-        placed = rows.mapInArrow(_leaf_of(tree, dim), "rep long, vec array<float>, asks boolean, leaf long")
-        found = placed.groupBy("leaf").applyInArrow(_search_leaf(tree, dim, k, limit, radius), _FOUND)
-        if state is not None:
-            found = state.unionByName(found).groupBy("rep").agg(
-                F.expr("exp(sum(ln(greatest(miss, 1e-9))))").alias("miss"),
-                F.min("dist").alias("dist"),
-                F.slice(
-                    F.array_sort(
-                        F.array_distinct(F.flatten(F.collect_list("best"))),
-                        lambda x, y: F.when(x["c"] > y["c"], -1).when(x["c"] < y["c"], 1)
-                        .when(x["other"] < y["other"], -1).when(x["other"] > y["other"], 1).otherwise(0),
-                    ), 1, k,
-                ).alias("best"),
-            )
-        new = scratch.keep(found.select("rep", "miss", "dist", "best"))
-        scratch.drop(state)
-        state = new
-        if depth == 0:  # one leaf holds all rows: nothing was missed
-            break
+        placed = state.mapInArrow(_leaf_of(tree, dim), f"{_STATE}, leaf long")
+        state = placed.groupBy("leaf").applyInArrow(_search_leaf(tree, dim, k, limit, radius, sure), _STATE)
     return state
 
 
@@ -147,7 +141,7 @@ def nearest(
     plain, rows = distinct_vectors(df, id_col, vec_col, dim)
     classes = scratch.keep(plain)
     points = classes.select("rep", "vec")
-    found = similar_classes(points, dim, k, limit, scratch, **tuning)
+    found = similar_classes(points, dim, k, limit, **tuning)
     # members: every id with its class; first: the k+1 smallest ids of each class, ranked in two salted stages
     several = classes.where("n > 1").select("f1", "f2", "rep")
     copies = rows.join(several, ["f1", "f2"]).select("rep", "id").distinct()
