@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import clusters, neighbours
+from gleanery.llm import clusters, neardup, neighbours
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
     "p1_typical": clusters.p1_typical,
     "p2_found": neighbours.p2_found,
+    "p3_found": neardup.p3_found,
+    "p3_groups": neardup.p3_groups,
 }
 
 _COSINES = """
@@ -39,4 +41,17 @@ where cluster_key in (select cluster_key from tagged group by cluster_key having
     "p2_found": f"""with {_COSINES},
 ranked as (select a, b, row_number() over (partition by a order by c desc, b) as r from pairs where c >= 0.85)
 select distinct least(a, b) as feature_a, greatest(a, b) as feature_b from ranked where r <= 5""",
+    "p3_found": """with tokens as (
+  select feature_id, regexp_extract_all(lower(text_content), '[\\p{L}\\p{N}]+') as w from document_features
+  where text_content is not null),
+sh as (
+  select distinct feature_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s
+  from tokens where len(w) >= 3),
+sizes as (select feature_id, count(*) as n from sh group by feature_id),
+common as (
+  select a.feature_id as a, b.feature_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.feature_id < b.feature_id
+  group by 1, 2)
+select a as feature_a, b as feature_b from common
+join sizes x on x.feature_id = a join sizes y on y.feature_id = b
+where c * 10 >= 7 * (x.n + y.n - c)""",
 }
