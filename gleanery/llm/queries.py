@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import clusters, neardup, neighbours
+from gleanery.llm import clusters, leaks, neardup, neighbours, topn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
@@ -14,14 +14,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": neighbours.p2_found,
     "p3_found": neardup.p3_found,
     "p3_groups": neardup.p3_groups,
+    "p4_found": topn.p4_found,
+    "p4_ranked": topn.p4_ranked,
+    "p7_found": leaks.p7_found,
+    "p7_coverage": leaks.p7_coverage,
 }
 
 _COSINES = """
 usable as (
-  select feature_id, list_transform(embedding, x -> cast(x as double)) as v from document_features
+  select feature_id, list_transform(embedding, lambda x: cast(x as double)) as v from document_features
   where embedding is not null and len(embedding) = 64
-    and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs as (
   select a.feature_id as a, b.feature_id as b, round(list_cosine_similarity(a.v, b.v), 9) as c
   from usable a join usable b on a.feature_id <> b.feature_id
@@ -34,6 +38,18 @@ reach(a, b) as (select a, b from links union select r.a, l.b from reach r join l
 tagged as (select a as feature_id, min(b) as cluster_key from reach group by a)
 """
 
+_BEST = """with latest as (
+  select burst_id, item_id, score, local_rank,
+    row_number() over (partition by burst_id, item_id order by judged_at desc nulls last, result_id desc nulls last,
+      loaded_at desc nulls last) as k
+  from classification_results where burst_id is not null and item_id is not null),
+ranked as (
+  select burst_id, item_id, least(greatest(score, 1), 5) as score,
+    row_number() over (partition by burst_id order by least(greatest(score, 1), 5) desc, local_rank asc nulls last, item_id)
+      as rank
+  from latest where k = 1 and score is not null)
+"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"""{_CLUSTERS}
 select cluster_key, feature_id from tagged
@@ -45,7 +61,7 @@ select distinct least(a, b) as feature_a, greatest(a, b) as feature_b from ranke
   select feature_id, regexp_extract_all(lower(text_content), '[\\p{L}\\p{N}]+') as w from document_features
   where text_content is not null),
 sh as (
-  select distinct feature_id, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s
+  select distinct feature_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as s
   from tokens where len(w) >= 3),
 sizes as (select feature_id, count(*) as n from sh group by feature_id),
 common as (
@@ -54,4 +70,17 @@ common as (
 select a as feature_a, b as feature_b from common
 join sizes x on x.feature_id = a join sizes y on y.feature_id = b
 where c * 10 >= 7 * (x.n + y.n - c)""",
+    "p4_found": f"""{_BEST}
+select burst_id, item_id from ranked where rank <= 3""",
+    "p4_ranked": f"""{_BEST}
+select burst_id, r.item_id, score, cast(rank as int) as rank, regexp_replace(m.path, '/[^/]*$', '') as folder
+from ranked r left join media_items m on m.item_id = r.item_id where rank <= 10""",
+    "p7_found": """with d as (
+  select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+e as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),
+dr as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as run
+  from d where len(w) >= 10),
+er as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as run
+  from e where len(w) >= 10)
+select distinct doc_id, item_id from dr join er using (run)""",
 }
