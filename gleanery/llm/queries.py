@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import clusters, leaks, neardup, neighbours, topn
+from gleanery.llm import clusters, leaks, neardup, neighbours, topn, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
@@ -18,6 +18,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_ranked": topn.p4_ranked,
     "p7_found": leaks.p7_found,
     "p7_coverage": leaks.p7_coverage,
+    "p9_found": truncation.p9_found,
+    "p9_rates": truncation.p9_rates,
 }
 
 _COSINES = """
