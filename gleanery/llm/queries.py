@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import clusters, leaks, neardup, neighbours, topn, truncation
+from gleanery.llm import clusters, leaks, neardup, neighbours, pairwise, topn, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
@@ -16,6 +16,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_groups": neardup.p3_groups,
     "p4_found": topn.p4_found,
     "p4_ranked": topn.p4_ranked,
+    "p5_found": pairwise.p5_found,
+    "p5_ranking": pairwise.p5_ranking,
     "p7_found": leaks.p7_found,
     "p7_coverage": leaks.p7_coverage,
     "p9_found": truncation.p9_found,
