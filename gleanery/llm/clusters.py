@@ -178,8 +178,7 @@ def cells_of(centres: np.ndarray, dim: int, margin: float, probes: int):
             row, at = np.nonzero(keep)
             taken = pa.array(row)
             yield pa.RecordBatch.from_arrays(
-                [b.column("rep").take(taken), b.column("vec").take(taken), pa.array(top[row, at].astype(np.int64))],
-                ["rep", "vec", "cell"],
+                [*(c.take(taken) for c in b.columns), pa.array(top[row, at].astype(np.int64))], [*b.schema.names, "cell"]
             )
 
     return run
@@ -246,43 +245,41 @@ def local_components(u: np.ndarray, limit: float, low: int = 64) -> np.ndarray:
 
 
 def similarity_links(
-    points: DataFrame, dim: int, limit: float, cell_rows: int = 1024, block_rows: int = 8192, margin: float = 0.08,
-    probes: int = 3, max_cells: int = 4096,
+    points: DataFrame, dim: int, cell_rows: int = 1024, block_rows: int = 8192, margin: float = 0.12,
+    probes: int = 4, max_cells: int = 4096,
 ) -> DataFrame:
-    """(rep, hub): links that join the rows of ``points`` (rep, vec; distinct vectors) into the components of
-    "cosine >= limit". At most one link per row and cell leaves a cell, however dense it is.
+    """(part, rep, hub): links that join the rows of ``points`` (part, rep, vec, cut; distinct vectors within a part)
+    into the components of "cosine >= cut" of each part. At most one link per row and cell leaves a cell, however
+    dense it is.
 
     A cell of more than block_rows rows is divided into blocks by a hash of the row and treated pair of blocks by
     pair of blocks, so no task holds more than two blocks."""
     total = points.count()
-    k = max(1, min(max_cells, total // cell_rows))
-    centres = kmeans(points, dim, k)
+    centres = kmeans(points, dim, max(1, min(max_cells, total // cell_rows)))
     if not len(centres):
-        return points.select("rep", F.col("rep").alias("hub")).limit(0)
-    placed = points.mapInArrow(cells_of(centres, dim, margin, probes), "rep long, vec array<float>, cell long")
-    counts = placed.groupBy("cell").count().where(f"count > {block_rows}")  # at most max_cells rows
-    held = [(r["cell"], math.ceil(r["count"] / block_rows)) for r in counts.collect()]
-    if held:
-        sizes = points.sparkSession.createDataFrame(held, "cell long, parts int")
-        placed = placed.join(F.broadcast(sizes), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    else:
-        placed = placed.withColumn("parts", F.lit(1))
+        return points.select("part", "rep", F.col("rep").alias("hub")).limit(0)
+    shape = "part long, rep long, vec array<float>, cut double, cell long"
+    placed = points.select("part", "rep", "vec", "cut").mapInArrow(cells_of(centres, dim, margin, probes), shape)
+    counts = placed.groupBy("part", "cell").count().where(f"count > {block_rows}")
+    sizes = counts.select("part", "cell", F.ceil(F.col("count") / block_rows).cast("int").alias("parts"))
+    placed = placed.join(sizes, ["part", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), "parts").cast("int")
     blocks = placed.withColumn("own", own).select(
-        "rep", "vec", "cell",
+        "part", "rep", "vec", "cut", "cell",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1),
                               lambda i: F.struct(F.least(i, "own").alias("a"), F.greatest(i, "own").alias("b")))).alias("p"),
-    ).select("rep", "vec", "cell", "p.a", "p.b")
+    ).select("part", "rep", "vec", "cut", "cell", "p.a", "p.b")
 
     def join(table: pa.Table) -> pa.Table:
         rep = table["rep"].to_numpy()
         o = np.argsort(rep, kind="stable")
         rep = rep[o]
-        label = local_components(unit(matrix(table["vec"], dim)[o]), limit)
+        label = local_components(unit(matrix(table["vec"], dim)[o]), float(table["cut"][0].as_py()))
         at = np.flatnonzero(label >= 0)
-        return pa.table({"rep": pa.array(rep[at]), "hub": pa.array(rep[label[at]])})
+        part = np.full(len(at), table["part"][0].as_py(), dtype=np.int64)
+        return pa.table({"part": part, "rep": pa.array(rep[at]), "hub": pa.array(rep[label[at]])})
 
-    return blocks.groupBy("cell", "a", "b").applyInArrow(join, "rep long, hub long")
+    return blocks.groupBy("part", "cell", "a", "b").applyInArrow(join, "part long, rep long, hub long")
 
 
 def clusters(
@@ -298,7 +295,8 @@ def clusters(
     scratch = Scratch(df.sparkSession)
     plain, rows = distinct_vectors(df, id_col, vec_col, dim)
     classes = scratch.keep(plain)
-    links = scratch.keep(similarity_links(classes.select("rep", "vec"), dim, limit, **tuning))
+    points = classes.select(F.lit(0).cast("long").alias("part"), "rep", "vec", F.lit(limit).alias("cut"))
+    links = scratch.keep(similarity_links(points, dim, **tuning))
     labels = connected_components(links, "rep", "hub").withColumnRenamed("node", "rep")
     joined = rows.distinct().join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep")
     tagged = joined.join(labels, "rep", "left").select("id", "rep", F.coalesce("component", "rep").alias("cluster"))
