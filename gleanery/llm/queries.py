@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import clusters, leaks, neardup, neighbours, pairwise, topn, truncation
+from gleanery.llm import clusters, leaks, mixing, neardup, neighbours, pairwise, subset, topn, truncation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
@@ -18,8 +18,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_ranked": topn.p4_ranked,
     "p5_found": pairwise.p5_found,
     "p5_ranking": pairwise.p5_ranking,
+    "p6_subset": subset.p6_subset,
     "p7_found": leaks.p7_found,
     "p7_coverage": leaks.p7_coverage,
+    "p8_copies": mixing.p8_copies,
+    "p8_shares": mixing.p8_shares,
     "p9_found": truncation.p9_found,
     "p9_rates": truncation.p9_rates,
 }
