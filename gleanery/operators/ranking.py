@@ -4,23 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gleanery.scratch import Scratch
+from gleanery.operators.ordered import Ordered
 
 
 def global_rank(df: DataFrame, order: list[Column], rank: str = "rank") -> DataFrame:
-    """``df`` with the position (from 1) of each row in ``order``, which should be unique to be stable.
-
-    Rows are range-partitioned, numbered within their range, and shifted by the rows of the ranges before it; only one
-    count per range is gathered. An empty table gives an empty result."""
-    part, own, shift = "__range", "__own", "__shift"
-    if part in df.columns:
-        raise ValueError(f"{part} is a column already")
-    ranged = Scratch(df.sparkSession).keep(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    counts = ranged.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    shifts = counts.select(part, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(shift))
-    numbered = ranged.withColumn(own, F.row_number().over(Window.partitionBy(part).orderBy(*order)))
-    joined = numbered.join(F.broadcast(shifts), part)  # as many rows as shuffle partitions
-    return joined.withColumn(rank, (F.col(own) + F.col(shift)).cast("long")).drop(part, own, shift)
+    """``df`` with the position (from 1) of each row in ``order``, which should be unique to be stable. Only one count
+    per range of the order is gathered; an empty table gives an empty result."""
+    return Ordered(df, order).position(rank).done()
