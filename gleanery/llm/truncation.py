@@ -114,7 +114,7 @@ def _bare(end: str) -> str:
 
 
 def _complete(end: str) -> bool:
-    return bool(_SENTENCE.search(_bare(end)))
+    return bool(_SENTENCE.search(end.rstrip()) or _SENTENCE.search(_bare(end)))
 
 
 def _closing_line(end: str) -> bool:
