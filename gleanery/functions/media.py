@@ -14,7 +14,7 @@ RATIOS = (("1:1", 1.0), ("3:4", 3 / 4), ("4:3", 4 / 3), ("9:16", 9 / 16), ("16:9
 def quality(sharpness: Column, brightness: Column, w_sharp: float = 0.8, w_bright: float = 0.2) -> Column:
     """Weighted sharpness (Laplacian variance over 200, at most 1) and brightness (mean over 255); 0 where unknown."""
     s = F.least(sharpness / 200.0, F.lit(1.0)) * w_sharp + brightness / 255.0 * w_bright
-    return F.coalesce(s, F.lit(0.0))
+    return F.when(sharpness.isNotNull() & brightness.isNotNull(), s).otherwise(0.0)
 
 
 def passes_quality(score: Column, least: float = 0.3) -> Column:

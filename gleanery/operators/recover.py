@@ -52,4 +52,4 @@ def current_place(items: DataFrame, reviewed: DataFrame, present: DataFrame, pat
     reviewed: path, copy; present: path."""
     there = present.select(path, F.lit(True).alias("__there"))
     out = items.join(reviewed.select(path, "copy"), path, "left").join(there, path, "left")
-    return out.withColumn("place", F.coalesce("copy", F.when("__there", F.col(path)))).where("place is not null").drop("copy", "__there")
+    return out.withColumn("place", F.coalesce("copy", F.when(F.col("__there"), F.col(path)))).where("place is not null").drop("copy", "__there")

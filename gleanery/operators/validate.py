@@ -22,7 +22,8 @@ def whole_number(value: Column) -> Column:
 
 
 def clamped(value: Column, low: int = 1, high: int = 5) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), whole_number(value)))
+    n = whole_number(value)
+    return F.when(n.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), n)))
 
 
 def known_category(category: Column, valid: list[str], default: str) -> Column:

@@ -240,7 +240,7 @@ _LATEST = """latest_results as (
   from classification_results group by result_id)"""
 _JUDGED = f"""with {_LATEST},
 judged as (select *, case when trim(classification) in ('Share', 'Storage', 'Review', 'Ignore') then trim(classification) else 'Review' end as category,
-  coalesce(greatest(1, least(5, score)), 2) as points, coalesce(local_rank, burst_index + 1) as place from latest_results)"""
+  case when score is null then 2 else greatest(1, least(5, score)) end as points, coalesce(local_rank, burst_index + 1) as place from latest_results)"""
 _GUARDS = """when category = 'Ignore' then 'Ignore' when contains_children = false then 'Ignore'
     when is_appropriate = false then 'Review' when category = 'Review' then 'Review'"""
 _SINGLE = f"case {_GUARDS} when category = 'Share' and points >= 4 then 'Share' when points >= 3 then 'Review' else 'Storage' end"
@@ -662,8 +662,8 @@ def image_arithmetic(spark, sf_dir):
 
 @query(
     """with f as (select item_id, cast(size_bytes % 400 as double) as s, cast(size_bytes % 256 as double) as b from media_items)
-select item_id, round(coalesce(least(s / 200.0, 1.0) * 0.8 + b / 255.0 * 0.2, 0.0), 9) as quality,
-  coalesce(least(s / 200.0, 1.0) * 0.8 + b / 255.0 * 0.2, 0.0) >= 0.3 as passes from f"""
+select item_id, round(q, 9) as quality, q >= 0.3 as passes
+from (select item_id, case when s is null then 0.0 else least(s / 200.0, 1.0) * 0.8 + b / 255.0 * 0.2 end as q from f)"""
 )
 def quality_filter(spark, sf_dir):
     q = media.quality((F.col("size_bytes") % 400).cast("double"), (F.col("size_bytes") % 256).cast("double"))
