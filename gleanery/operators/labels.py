@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanery.operators.ordered import Ordered
 
@@ -106,3 +107,47 @@ def moves(report: DataFrame, actual: DataFrame, name: str, was: str, now: str) -
 
 def transitions(moved: DataFrame, was: str, now: str) -> DataFrame:
     return moved.groupBy(was, now).agg(F.count(F.lit(1)).alias("n"))
+
+
+def balanced_categories(examples: DataFrame, category: str, order: list[Column], ratio: int = 3) -> DataFrame:
+    """``examples`` with every category cut to ``ratio`` times the smallest one, first rows in ``order``. Places within
+    a category come from one global order, so a category with most rows is no task of its own."""
+    ranked = Ordered(examples, [F.col(category), *order]).position("__r").done()
+    spans = ranked.groupBy(F.col(category).alias("__c")).agg(F.min("__r").alias("__s"), F.count(F.lit(1)).alias("__n"))
+    spans = spans.withColumn("__m", F.min("__n").over(Window.partitionBy()))  # one row a category
+    out = ranked.join(spans, F.col(category).eqNullSafe(F.col("__c")))
+    return out.where(F.col("__r") - F.col("__s") < F.col("__m") * ratio).drop("__r", "__c", "__s", "__n", "__m")
+
+
+def reasons_by_category(feedback: DataFrame, most: int = 20) -> DataFrame:
+    """(category, n, reasons): corrections per category, a missing one is 'unknown', with the first ``most`` reasons in
+    the order of submission. feedback: file_path, correct_category, reasoning, submitted_at."""
+    named = feedback.withColumn("category", F.coalesce("correct_category", F.lit("unknown")))
+    n = named.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    said = named.where(F.trim("reasoning") != "").select("category", "reasoning", "submitted_at", "file_path")
+    ranked = Ordered(said, [F.col(c) for c in ("category", "submitted_at", "file_path", "reasoning")]).position("__r").done()
+    first = ranked.groupBy("category").agg(F.min("__r").alias("__s"))
+    kept = ranked.join(first, "category").where(F.col("__r") - F.col("__s") < most)
+    lists = kept.groupBy("category").agg(F.array_sort(F.collect_list(F.struct("__r", "reasoning"))).alias("l"))
+    return n.join(lists, "category", "left").select("category", "n", F.coalesce(F.transform("l", lambda x: x["reasoning"]), F.array()).alias("reasons"))
+
+
+def recent(feedback: DataFrame, most: int = 20) -> DataFrame:
+    """The last ``most`` corrections, oldest of them first."""
+    last = feedback.orderBy(F.desc_nulls_last("submitted_at"), F.desc("file_path")).limit(most)
+    return last.orderBy(F.asc_nulls_first("submitted_at"), "file_path")
+
+
+def corrections(moved: DataFrame, known: DataFrame, name: str, was: str, now: str) -> DataFrame:
+    """(name, category, confidence, source): moves as corrections, sure (5) between sharing and storing, else 4; a move
+    takes the place of a known correction of the same item. known: name, category, confidence."""
+    sure = F.col(was).isin("Share", "Storage") & F.col(now).isin("Share", "Storage")
+    new = moved.select(name, F.col(now).alias("category"), F.when(sure, 5).otherwise(4).alias("confidence"), F.lit("move").alias("source"))
+    old = known.select(name, "category", "confidence", F.lit("known").alias("source")).join(new.select(name), name, "left_anti")
+    return new.unionByName(old)
+
+
+def threshold_advice(moves_table: DataFrame, was: str, now: str) -> DataFrame:
+    """(direction, n): how often items were moved up to Share, or down from it."""
+    way = F.when(F.col(now) == "Share", "lower the threshold").when(F.col(was) == "Share", "raise the threshold").otherwise("keep")
+    return moves_table.groupBy(way.alias("direction")).agg(F.count(F.lit(1)).alias("n"))

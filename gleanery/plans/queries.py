@@ -685,3 +685,76 @@ def stream_sessions(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*").load(f"{sf_dir}/events.parquet*")
     return streaming.run_available(streaming.stream_sessions(stream, "user_id", "ts", "10 minutes"))
+
+
+# ------------------------------------------------------------------------------------------ feedback and the whole way
+
+
+def _feedback(spark, sf_dir) -> DataFrame:
+    """Judgements of one config read as corrections."""
+    return judgements(spark, sf_dir).where("config_id = 1").select(
+        F.col("path").alias("file_path"), F.nullif(F.trim("classification"), F.lit("Ignore")).alias("correct_category"), "reasoning",
+        F.col("judged_at").alias("submitted_at"), "result_id",
+    )
+
+
+_FEEDBACK = f"""with {_LATEST}, f as (select path as file_path, nullif(trim(classification), 'Ignore') as correct_category, reasoning, judged_at as submitted_at
+  from latest_results where config_id = 1),
+n as (select coalesce(correct_category, 'unknown') as category, * from f)"""
+
+
+@query(
+    f"""{_FEEDBACK},
+r as (select category, reasoning, row_number() over (partition by category order by submitted_at nulls first, file_path nulls first, reasoning) as k from n where trim(reasoning) <> ''),
+l as (select category, list(reasoning order by k) as reasons from r where k <= 20 group by category)
+select category, count(*) as n, any_value(coalesce(l.reasons, [])) as reasons from n left join l using (category) group by category"""
+)
+def feedback_reasons(spark, sf_dir):
+    return labels.reasons_by_category(_feedback(spark, sf_dir))
+
+
+@query(
+    f"""{_FEEDBACK} select file_path, correct_category, submitted_at from f order by submitted_at desc nulls last, file_path desc limit 20"""
+)
+def feedback_recent(spark, sf_dir):
+    return labels.recent(_feedback(spark, sf_dir)).select("file_path", "correct_category", "submitted_at")
+
+
+@query(
+    f"""with {_LATEST}, r as (select result_id, trim(classification) as category, row_number() over (partition by trim(classification) order by result_id) as k,
+  count(*) over (partition by trim(classification)) as c from latest_results)
+select result_id, category from r where k <= 3 * (select min(c) from r)"""
+)
+def balanced_categories(spark, sf_dir):
+    rows = judgements(spark, sf_dir).select("result_id", F.trim("classification").alias("category"))
+    return labels.balanced_categories(rows, "category", [F.col("result_id")])
+
+
+@query(
+    f"""{_MOVES}, m as (select * from f where was <> now),
+k as (select item_id, min(trim(classification)) as category from latest_results where item_id % 5 = 0 group by item_id)
+select item_id, now as category, case when was in ('Share', 'Storage') and now in ('Share', 'Storage') then 5 else 4 end as confidence, 'move' as source from m
+union all select item_id, category, 3, 'known' from k where item_id not in (select item_id from m)"""
+)
+def correction_table(spark, sf_dir):
+    """Corrections: moves take the place of what was known (here: of every fifth item)."""
+    known = judgements(spark, sf_dir).where("item_id % 5 = 0").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
+    return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
+
+
+@query()
+def classify_collection(spark, sf_dir):
+    """The whole pipeline over all media items with the deterministic judge."""
+    from gleanery.plans.pipeline import Pipeline
+
+    rows = timed(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "path", "media_type"), "item_id")
+    return Pipeline().run(rows).select("item_id", "group_id", "group_index", "group_size", "classification", "score", "is_error_fallback", "destination")
+
+
+@query()
+def embedded_documents(spark, sf_dir):
+    """Documents with vectors of the default embedder; blank texts have none."""
+    from gleanery.functions import embed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return embed.with_embedding(docs, "text", embed.HashedTrigrams()).select("doc_id", F.round(F.array_max("embedding"), 4).alias("largest"))
