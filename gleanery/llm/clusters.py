@@ -32,12 +32,12 @@ def hashed_features(df: DataFrame, id_col: str, text_col: str, dim: int = 64) ->
     base = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     terms = base.select("id", F.explode(word_hashes(F.col("text"))).alias("w")).groupBy("id", "w").count()
     seen = terms.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
-    docs = base.agg(F.count(F.lit(1)).alias("docs"))
-    weighed = terms.join(seen, "w").crossJoin(F.broadcast(docs)).select(  # docs is one row
+    docs = base.count()
+    weighed = terms.join(seen, "w").select(
         "id",
         F.pmod("w", F.lit(dim)).cast("int").alias("bucket"),
         (F.when(F.pmod(F.shiftright("w", 32), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-         * (1 + F.log("count")) * F.log((1 + F.col("docs")) / (1 + F.col("df")))).alias("x"),
+         * (1 + F.log("count")) * F.log(F.lit(1.0 + docs) / (1 + F.col("df")))).alias("x"),
     )
     cells = weighed.groupBy("id", "bucket").agg(F.sum("x").alias("x"))
     packed = cells.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "x"))).alias("m"))

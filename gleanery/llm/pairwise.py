@@ -77,11 +77,12 @@ class _Passes:
 
 
 def strengths(
-    rows: DataFrame, penalty: float = 0.25, newton: int = 10, inner: int = 10, tolerance: float = 1e-3
+    rows: DataFrame, penalty: float = 0.25, newton: int = 12, inner: int = 10, tolerance: float = 5e-3, solved: float = 1e-2
 ) -> tuple[DataFrame, dict[str, float]]:
     """(item, strength) for verdict rows (a, b, outcome, weight), and the parameters {first, draw, steps}.
 
-    Strengths are centred at 0 by the penalty; an item without a decided comparison gets what its draws say. An empty
+    Steps end when no strength moves by ``tolerance``; each step's equations are solved to ``solved`` of their squared
+    residual. Strengths are centred at 0 by the penalty; an item without a decided comparison gets what its draws say. An empty
     table gives an empty result."""
     scratch = Scratch(rows.sparkSession)
     won = lambda o: F.sum(F.when(F.col("outcome") == o, F.col("weight")).otherwise(0.0))
@@ -121,7 +122,7 @@ def strengths(
         solve = scratch.keep(solve)
         rz = start = _sum(solve, z=F.col("r") * F.col("r") / F.col("m"))["z"]
         for _ in range(inner):
-            if rz <= 1e-3 * start or rz == 0:
+            if rz <= solved * start:
                 break
             there = passes.with_other(links.select("item", "other", "v"), solve.select("item", F.col("p").alias("po")))
             away = there.groupBy("item").agg(F.sum(F.col("v") * F.col("po")).alias("w"))

@@ -106,7 +106,7 @@ def test_ranking_is_the_penalised_maximum(spark):
     extra = [rows[0], (5000, "p00", "p00", "left", "within_burst", 1.0, AT, "", 1), (5001, "p00", None, "left", "", 1.0, AT, "", 1),
              (5002, "p01", "p02", "skip", "", 1.0, AT, "", 1), (5003, "p01", "p02", None, "", 1.0, AT, "", 1), (None, "p01", "p02", "left", "", 1.0, AT, "", 1)]
     df = spark.createDataFrame(rows + extra, PAIRS)
-    got = {r["name"]: r for r in pairwise.ranking(df, tolerance=1e-5, newton=20, inner=25).collect()}
+    got = {r["name"]: r for r in pairwise.ranking(df, tolerance=1e-5, newton=20, inner=25, solved=1e-6).collect()}
     want, first, draw = _reference(rows, 0.25)
     assert set(got) == set(want) and max(abs(got[n]["strength"] - want[n]) for n in want) < 0.01
     assert abs(first - 0.4) < 0.2 and np.corrcoef([strength[n] for n in want], [got[n]["strength"] for n in want])[0, 1] > 0.95
