@@ -245,8 +245,8 @@ def local_components(u: np.ndarray, limit: float, low: int = 64) -> np.ndarray:
 
 
 def similarity_links(
-    points: DataFrame, dim: int, cell_rows: int = 1024, block_rows: int = 8192, margin: float = 0.12,
-    probes: int = 4, max_cells: int = 4096,
+    points: DataFrame, dim: int, cell_rows: int = 1024, block_rows: int = 8192, margin: float = 0.16,
+    probes: int = 6, max_cells: int = 4096,
 ) -> DataFrame:
     """(part, rep, hub): links that join the rows of ``points`` (part, rep, vec, cut; distinct vectors within a part)
     into the components of "cosine >= cut" of each part. At most one link per row and cell leaves a cell, however

@@ -102,14 +102,15 @@ def _search_leaf(tree: KdTree, dim: int, k: int, limit: float, radius: float, su
 
 
 def similar_classes(
-    points: DataFrame, dim: int, k: int, limit: float, dims: int = 8, trees: int = 5,
+    points: DataFrame, dim: int, k: int, limit: float, dims: int = 12, trees: int | None = None,
     leaf_rows: int = 4096, sample_rows: int = 16384, sure: float = 0.98, seed: int = 7,
 ) -> DataFrame:
     """(rep, vec, miss, best): for every distinct vector its k most similar other vectors with a cosine of ``limit``
     or more, and the bound of the chance that it missed one.
 
     The trees are fitted on about ``sample_rows`` rows, chosen by a hash of the id; every row is indexed. The leaves
-    hold leaf_rows to 2*leaf_rows rows whatever the number of rows, so work grows in proportion to it. A row travels
+    hold leaf_rows to 2*leaf_rows rows whatever the number of rows, so work grows in proportion to it, but for the
+    number of trees: five, or as many as a tree has levels, since every level can part two neighbours. A row travels
     with its finds from tree to tree: one shuffle of the rows per tree, and no join.
     """
     total = points.count()
@@ -120,7 +121,7 @@ def similar_classes(
     depth = max(0, int(math.log2(max(total, 1) / leaf_rows)))
     radius = math.sqrt(max(0.0, 2 - 2 * limit))
     state = _start(points)
-    for t in range(trees if depth else 1):  # one leaf holds all rows: nothing is missed
+    for t in range((trees or max(5, depth)) if depth else 1):  # one leaf holds all rows: nothing is missed
         tree = KdTree(fit, dims, depth, seed + t)
         placed = state.mapInArrow(_leaf_of(tree, dim), f"{_STATE}, leaf long")
         state = placed.groupBy("leaf").applyInArrow(_search_leaf(tree, dim, k, limit, radius, sure), _STATE)
