@@ -24,6 +24,8 @@ _CONTINUED = (
     "und so weiter", "usw", "à suivre", "et ainsi de suite", "continuará", "y así sucesivamente",
 )
 _LABELS = ("tags", "total", "score", "keywords", "schlagwörter", "gesamt", "summe", "mots-clés", "étiquettes", "etiquetas")
+#: Closing rules look at this many last characters at a time; the automaton reads the whole text.
+_LAST = 4096
 _PAIRS = {"}": "{", "]": "[", ")": "("}
 
 _SIGNS = re.compile(r'[{}\[\]()"\\]|```|</?[A-Za-z][^<>]*>?')
@@ -88,10 +90,11 @@ def judge_end(text: str) -> str:
         return "open" if stack else "whole"
     if "```" in stack or "<" in stack:
         return "open"
-    mark = _MARK.search(end)
+    last = end[-_LAST:]
+    mark = _MARK.search(last)
     if mark:
-        return "whole" if end[: mark.start()].rstrip(" .").lower().endswith(_CONTINUED) else "mark"
-    if _STEM.search(end):
+        return "whole" if last[: mark.start()].rstrip(" .").lower().endswith(_CONTINUED) else "mark"
+    if _STEM.search(last):
         return "word"
     if _complete(end) or _closing_line(end):
         return "whole"
@@ -106,15 +109,16 @@ def _bare(end: str) -> str:
         while end and (unicodedata.category(end[-1]) in ("So", "Sk", "Cf", "Mn") or end[-1] in "\u200d\ufe0f"):
             end = end[:-1].rstrip()
         for rule in (_TAGS, _ASIDE, _RULE):
-            m = rule.search(end)
-            if m and m.start() > 0:
-                end = end[: m.start()]
+            last = end[-_LAST:]  # what a rule can take is short; longer runs go in several rounds
+            m = rule.search(last)
+            if m and (m.start() > 0 or len(last) < len(end)):
+                end = end[: len(end) - len(last) + m.start()]
         if end == before:
             return end
 
 
 def _complete(end: str) -> bool:
-    return bool(_SENTENCE.search(end.rstrip()) or _SENTENCE.search(_bare(end)))
+    return bool(_SENTENCE.search(end.rstrip()[-_LAST:]) or _SENTENCE.search(_bare(end)[-_LAST:]))
 
 
 def _closing_line(end: str) -> bool:

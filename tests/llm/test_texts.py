@@ -191,6 +191,13 @@ def test_ends():
     assert [t for t in CUT if truncation.judge_end(t) == "whole"] == []
 
 
+def test_ends_of_very_long_texts():
+    for body in ("a. " * 300_000, "#tag " * 200_000, "." * 300_000 + " x. ", "(" * 200_000 + ". ", "- a\n" * 100_000):
+        assert truncation.judge_end(body + "Then it ended.") == "whole"
+        assert truncation.judge_end(body + "\n\nThen it was cut in the mid") == "soft"
+    assert truncation.judge_end("It was good." + " #sun" * 50_000) == "whole"
+
+
 def test_stack_automaton():
     assert truncation.open_structures("a (b [c] d") == ["("]
     assert truncation.open_structures("```\n(\n```") == []
