@@ -165,7 +165,7 @@ def burst_clusters(spark, sf_dir):
 from latest_results where burst_id is not null and burst_index >= 0"""
 )
 def burst_chunk_ranks(spark, sf_dir):
-    rows = judgements(spark, sf_dir).where("burst_id is not null and burst_index >= 0")
+    rows = judgements(spark, sf_dir, "burst_id", "burst_index", "local_rank").where("burst_id is not null and burst_index >= 0")
     return grouping.chunk_ranks(rows, "burst_index", "local_rank", 10).select("result_id", "chunk", "global_rank")
 
 
@@ -177,7 +177,7 @@ n as (select result_id, s, i, sum(case when s > 1 and i = 0 then 1 else 0 end) o
 select result_id, cast(case when s > 1 and opened is not null and opened > coalesce(closed, -1) then no end as bigint) as burst_no from n"""
 )
 def burst_islands(spark, sf_dir):
-    rows = judgements(spark, sf_dir).select("result_id", "burst_size", "burst_index")
+    rows = judgements(spark, sf_dir, "burst_size", "burst_index")
     return grouping.islands(rows, "result_id", "burst_size", "burst_index").select("result_id", "burst_no")
 
 
@@ -248,13 +248,16 @@ ORACLES["burst_islands"] = f"with {_LATEST}, " + ORACLES["burst_islands"][len("w
 ORACLES["burst_chunk_ranks"] = f"with {_LATEST} " + ORACLES["burst_chunk_ranks"]
 
 
-def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every judgement once, by its latest delivery."""
-    return stats.latest(table(spark, sf_dir, "classification_results"), "result_id", "loaded_at")
+def judgements(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Every judgement once, by its latest delivery, with the columns asked for; no others are read."""
+    rows = table(spark, sf_dir, "classification_results").select("result_id", "loaded_at", *columns)
+    return stats.latest(rows, "result_id", "loaded_at")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judgements(spark, sf_dir).withColumn("category", F.trim("classification")).withColumn("points", F.col("score"))
+def judged(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    base = ["classification", "score", "burst_index", "local_rank"]
+    rows = judgements(spark, sf_dir, *base, *(c for c in columns if c not in base))
+    rows = rows.withColumn("category", F.trim("classification")).withColumn("points", F.col("score"))
     return validate.judgement(rows, "category", "points", VALID, "Review", rank="local_rank", position="burst_index")
 
 
@@ -266,7 +269,7 @@ def validated_scores(spark, sf_dir):
 @query(f"{_JUDGED} select result_id, category, points, {_SINGLE} as destination from judged")
 def route_single(spark, sf_dir):
     place = route.single(F.col("category"), F.col("points"), F.col("contains_children"), F.col("is_appropriate"))
-    return judged(spark, sf_dir).select("result_id", "category", "points", place.alias("destination"))
+    return judged(spark, sf_dir, "contains_children", "is_appropriate").select("result_id", "category", "points", place.alias("destination"))
 
 
 @query(
@@ -283,7 +286,7 @@ def route_stats(spark, sf_dir):
 from judged where burst_id is not null"""
 )
 def route_burst(spark, sf_dir):
-    rows = judged(spark, sf_dir).where("burst_id is not null")
+    rows = judged(spark, sf_dir, "burst_id", "contains_children", "is_appropriate").where("burst_id is not null")
     return route.burst(
         rows, "burst_id", "burst_index", "category", "points", "local_rank", "contains_children", "is_appropriate"
     ).select("result_id", "destination")
@@ -311,7 +314,7 @@ from judged j join classification_configs c using (config_id)"""
 def route_by_profile(spark, sf_dir):
     """Routing by the thresholds of the row's own profile."""
     configs = table(spark, sf_dir, "classification_configs").select("config_id", "share_threshold", "review_threshold")
-    rows = judged(spark, sf_dir).join(configs, "config_id")
+    rows = judged(spark, sf_dir, "config_id").join(configs, "config_id")
     low = F.when(F.col("category") == "Share", F.col("share_threshold")).when(F.col("category") == "Storage", F.col("review_threshold"))
     place = F.when(F.coalesce(F.col("points") < low, F.lit(False)), "Review").otherwise(F.col("category"))
     return rows.select("result_id", place.alias("destination"))
@@ -337,7 +340,7 @@ def score_ranges(spark, sf_dir):
 from judged where score > 0 and not coalesce(is_error_fallback, false) order by points desc, result_id limit 5"""
 )
 def top_scored(spark, sf_dir):
-    rows = judged(spark, sf_dir).where("score > 0")
+    rows = judged(spark, sf_dir, "reasoning", "is_error_fallback").where("score > 0")
     top = stats.top_scored(rows, "points", "result_id", "is_error_fallback")
     return top.select("result_id", "points", stats.shortened(F.col("reasoning")).alias("reason"))
 
@@ -347,7 +350,7 @@ def top_scored(spark, sf_dir):
   round(count(*) * 100.0 / (select count(*) from latest_results), 4) as percent from latest_results group by 1"""
 )
 def destination_counts(spark, sf_dir):
-    return stats.counts(judgements(spark, sf_dir), "destination", "(none)")
+    return stats.counts(judgements(spark, sf_dir, "destination"), "destination", "(none)")
 
 
 @query(
@@ -355,7 +358,7 @@ def destination_counts(spark, sf_dir):
   round(avg(score), 6) as mean_score, count(distinct burst_id) as bursts from latest_results group by config_id"""
 )
 def profile_summary(spark, sf_dir):
-    return judgements(spark, sf_dir).groupBy("config_id").agg(
+    return judgements(spark, sf_dir, "config_id", "item_id", "is_error_fallback", "score", "burst_id").groupBy("config_id").agg(
         F.count(F.lit(1)).alias("results"), F.count_distinct("item_id").alias("items"), F.count_if("is_error_fallback").alias("errors"),
         F.round(F.avg("score"), 6).alias("mean_score"), F.count_distinct("burst_id").alias("bursts"),
     )
@@ -369,7 +372,7 @@ def _replies(spark, sf_dir) -> DataFrame:
         F.when(kind == 0, flat).when(kind == 1, F.concat(F.lit("```json\n"), flat, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("Here you are: "), flat, F.lit(" - done."))).otherwise("I cannot judge this.")
     )
-    return judgements(spark, sf_dir).where("score is not null").select("result_id", text.alias("text"))
+    return judgements(spark, sf_dir, "classification", "score").where("score is not null").select("result_id", text.alias("text"))
 
 
 @query(
@@ -432,7 +435,8 @@ labelled as (select item, case when s is not null and (t is null or s >= t) then
 
 def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every comparison once, with a clean choice or none."""
-    return stats.latest(table(spark, sf_dir, "pairwise_comparisons"), "pair_id", "loaded_at").withColumn("choice", labels.clean_choice(F.col("choice")))
+    rows = table(spark, sf_dir, "pairwise_comparisons").select("pair_id", "session_id", "photo_a", "photo_b", "choice", "comparison_type", "loaded_at")
+    return stats.latest(rows, "pair_id", "loaded_at").withColumn("choice", labels.clean_choice(F.col("choice")))
 
 
 def _labelled(spark, sf_dir) -> DataFrame:
@@ -511,7 +515,7 @@ f as (select item_id, min_by(destination, struct_pack(judged_at, result_id)) as
 
 
 def _first_last(spark, sf_dir) -> DataFrame:
-    rows = judgements(spark, sf_dir).where("destination is not null")
+    rows = judgements(spark, sf_dir, "item_id", "destination", "judged_at").where("destination is not null")
     at = F.struct("judged_at", "result_id")
     return rows.groupBy("item_id").agg(F.min_by("destination", at).alias("was"), F.max_by("destination", at).alias("now"))
 
@@ -533,7 +537,7 @@ def move_transitions(spark, sf_dir):
 from latest_results where is_error_fallback and error_type in ('api_error', 'invalid_response', 'load_error') group by all"""
 )
 def failed_groups(spark, sf_dir):
-    rows = grouping.failed_groups(recover.failed(judgements(spark, sf_dir)), "burst_id", "path")
+    rows = grouping.failed_groups(recover.failed(judgements(spark, sf_dir, "path", "burst_id", "is_error_fallback", "error_type")), "burst_id", "path")
     return rows.groupBy("error_type", "failed_group").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -544,7 +548,7 @@ select unit, case when alone then 'single' when count(*) = count(*) filter (e) t
 from u group by unit, alone having count(*) filter (e) > 0"""
 )
 def reprocess_plan(spark, sf_dir):
-    return recover.reprocess_plan(judgements(spark, sf_dir), "burst_id", "result_id", "is_error_fallback")
+    return recover.reprocess_plan(judgements(spark, sf_dir, "burst_id", "is_error_fallback"), "burst_id", "result_id", "is_error_fallback")
 
 
 @query(
@@ -553,7 +557,7 @@ select result_id, case when coalesce(is_error_fallback, false) then 'error' else
 where burst_id in (select burst_id from h) or (burst_id is null and is_error_fallback)"""
 )
 def clear_plan(spark, sf_dir):
-    return recover.clear_plan(judgements(spark, sf_dir), "burst_id", "result_id", "is_error_fallback")
+    return recover.clear_plan(judgements(spark, sf_dir, "burst_id", "is_error_fallback"), "burst_id", "result_id", "is_error_fallback")
 
 
 _CACHE = """c as (select path, sha256(path || '_' || size_bytes || '_' || epoch_us(modified_at)) as key, size_bytes, modified_at, item_id from media_items)"""
@@ -683,7 +687,7 @@ where epoch_us(last_at) + 600000000 <= (select epoch_us(max(ts)) - 3600000000 fr
 def stream_sessions(spark, sf_dir):
     """The stream form of the sessions: those that the watermark has closed after all there is was read."""
     schema = table(spark, sf_dir, "events").schema
-    stream = spark.readStream.schema(schema).format("parquet").option("pathGlobFilter", "events*").load(f"{sf_dir}/events.parquet*")
+    stream = spark.readStream.schema(schema).format("parquet").load(f"{sf_dir}/events.parquet*")
     return streaming.run_available(streaming.stream_sessions(stream, "user_id", "ts", "10 minutes"))
 
 
@@ -692,7 +696,7 @@ def stream_sessions(spark, sf_dir):
 
 def _feedback(spark, sf_dir) -> DataFrame:
     """Judgements of one config read as corrections."""
-    return judgements(spark, sf_dir).where("config_id = 1").select(
+    return judgements(spark, sf_dir, "config_id", "path", "classification", "reasoning", "judged_at").where("config_id = 1").select(
         F.col("path").alias("file_path"), F.nullif(F.trim("classification"), F.lit("Ignore")).alias("correct_category"), "reasoning",
         F.col("judged_at").alias("submitted_at"), "result_id",
     )
@@ -726,7 +730,7 @@ def feedback_recent(spark, sf_dir):
 select result_id, category from r where k <= 3 * (select min(c) from r)"""
 )
 def balanced_categories(spark, sf_dir):
-    rows = judgements(spark, sf_dir).select("result_id", F.trim("classification").alias("category"))
+    rows = judgements(spark, sf_dir, "classification").select("result_id", F.trim("classification").alias("category"))
     return labels.balanced_categories(rows, "category", [F.col("result_id")])
 
 
@@ -738,7 +742,7 @@ union all select item_id, category, 3, 'known' from k where item_id not in (sele
 )
 def correction_table(spark, sf_dir):
     """Corrections: moves take the place of what was known (here: of every fifth item)."""
-    known = judgements(spark, sf_dir).where("item_id % 5 = 0").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
+    known = judgements(spark, sf_dir, "item_id", "classification").where("item_id % 5 = 0").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
     return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
 
 
