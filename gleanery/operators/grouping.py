@@ -197,3 +197,21 @@ def chunk_ranks(df: DataFrame, position: str, rank: str, size: int = 10) -> Data
 def failed_groups(df: DataFrame, burst: str, source: str) -> DataFrame:
     """``df`` with ``failed_group``: the burst, or singleton_<source> where it is null or empty."""
     return df.withColumn("failed_group", F.coalesce(F.nullif(F.col(burst), F.lit("")), F.concat(F.lit("singleton_"), F.col(source))))
+
+
+def visual_groups(df: DataFrame, item: str, vec: str, limit: float = 0.92, max_group: int = 20_000) -> DataFrame:
+    """(item, burst_id, burst_index, burst_size): greedy clusters over all items in the order of ``item``, for
+    collections without times; stretches of ``max_group`` items are clustered apart."""
+    placed = Ordered(df.select(item, vec), [F.col(item)]).position("__pos").done()
+    one = placed.withColumns({"group_id": F.lit(0), "group_index": (F.col("__pos") - 1).cast("int"), "group_size": F.lit(2)})
+    return similar_bursts(one, item, vec, "", limit, least=1, most=2**31 - 1, max_group=max_group)
+
+
+def training_groups(images: DataFrame, videos: DataFrame, documents: DataFrame, dim: int, window: float = 10.0, limit: float = 0.8) -> DataFrame:
+    """(item_id, group_id, kind) of a training session: images by time (item_id, folder, at), videos alone (item_id),
+    documents by similarity (item_id, embedding)."""
+    a = sessions(images, ["folder"], "at", "item_id", window).select("item_id", "group_id", F.lit("image").alias("kind"))
+    untimed = images.where("at is null").select("item_id", F.col("item_id").alias("group_id"), F.lit("image").alias("kind"))
+    b = videos.select("item_id", F.col("item_id").alias("group_id"), F.lit("video").alias("kind"))
+    c = similarity_components(documents, "item_id", "embedding", dim, limit).select("item_id", "group_id", F.lit("document").alias("kind"))
+    return a.unionByName(untimed).unionByName(b).unionByName(c)

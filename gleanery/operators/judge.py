@@ -95,3 +95,26 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Ju
     )
     misses = df.join(cache.select(key), key, "left_anti")
     return hits.unionByName(judged(misses, key, prompt, judge, retry).withColumn("cached", F.lit(False)))
+
+
+def spread(groups: DataFrame, replies: DataFrame, group: str, position: str, listed: str, out: str = "judgement") -> DataFrame:
+    """Members joined with their judgement by position: replies holds one array per group (and chunk). Members beyond
+    the array get null."""
+    flat = replies.select(group, F.posexplode(listed).alias(position, out))
+    return groups.join(flat, [group, position], "left")
+
+
+def bundle_prompts(files: DataFrame, bundle: str, path: str, line: str, most: int = 50) -> DataFrame:
+    """(bundle, files, prompt): one prompt per bundle from its first ``most`` files by path and the number of all; no
+    more than that is gathered for a bundle."""
+    from pyspark.sql.window import Window
+
+    salted = Window.partitionBy(bundle, F.pmod(F.xxhash64(path), F.lit(16))).orderBy(path)
+    whole = Window.partitionBy(bundle).orderBy(path)
+    n = files.groupBy(bundle).agg(F.count(F.lit(1)).alias("files"))
+    first = files.withColumn("__r", F.row_number().over(salted)).where(F.col("__r") <= most)
+    first = first.withColumn("__r", F.row_number().over(whole)).where(F.col("__r") <= most)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("__r", F.col(line).alias("l")))), lambda x: x["l"])
+    text = first.groupBy(bundle).agg(F.array_join(lines, "\n").alias("text"))
+    more = F.when(F.col("files") > most, F.concat(F.lit("\n(+"), (F.col("files") - most).cast("string"), F.lit(" more)"))).otherwise("")
+    return n.join(text, bundle).select(bundle, "files", F.concat("text", more).alias("prompt"))

@@ -151,3 +151,23 @@ def threshold_advice(moves_table: DataFrame, was: str, now: str) -> DataFrame:
     """(direction, n): how often items were moved up to Share, or down from it."""
     way = F.when(F.col(now) == "Share", "lower the threshold").when(F.col(was) == "Share", "raise the threshold").otherwise("keep")
     return moves_table.groupBy(way.alias("direction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def share_ratio(examples: DataFrame, side: str = "side", usual: float = 0.275) -> float:
+    """Share of examples on the sharing side; the usual one where there are none."""
+    row = examples.agg(F.avg((F.lower(side) == "share").cast("double")).alias("r")).first()
+    return usual if row["r"] is None else row["r"]
+
+
+#: How often each kind of comparison is served where all are possible.
+KINDS = {"within_burst": 0.5, "between_burst": 0.3, "gallery": 0.2}
+
+
+def next_kind(possible: set[str], served: int, seed: int = 1337) -> str | None:
+    """The kind of the next comparison: drawn by weight among the possible ones, the same for the same number served."""
+    import random
+
+    names = [k for k in KINDS if k in possible]
+    if not names:
+        return None
+    return random.Random(seed * 1_000_003 + served).choices(names, [KINDS[k] for k in names])[0]

@@ -85,3 +85,31 @@ def response_error(blocked: Column, finish_reason: Column, text: Column) -> Colu
     return F.when(F.coalesce(blocked, F.lit(False)) | F.coalesce(finish_reason == 3, F.lit(False)), "safety_blocked").when(
         F.coalesce(F.trim(text), F.lit("")) == "", "invalid_response"
     )
+
+
+#: What a missing extra field becomes, by kind of item.
+EXTRAS = {
+    "video": {"audio_quality": "unknown"}, "audio": {"audio_quality": "unknown", "content_summary": ""}, "document": {"content_summary": ""},
+}
+
+
+def with_extras(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` with the extra fields of its kind, missing ones filled; documents also have key_topics."""
+    for name, value in EXTRAS.get(kind, {}).items():
+        df = df.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in df.columns else F.lit(value))
+    if kind == "document":
+        none = F.expr("cast(array() as array<string>)")
+        df = df.withColumn("key_topics", F.coalesce(F.col("key_topics"), none) if "key_topics" in df.columns else none)
+    return df
+
+
+def fallback(df: DataFrame, default: str, kind: Column, message: Column, score: int = 2, expected: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns of an error fallback: default category, middling score, no flags, no dimensions."""
+    none = F.lit(None).cast("boolean")
+    names = F.array(*map(F.lit, expected)) if expected else F.expr("cast(array() as array<string>)")
+    empty = F.map_from_arrays(names, F.transform(names, lambda _: F.lit(None).cast("int")))
+    return df.withColumns({
+        "classification": F.lit(default), "score": F.lit(score), "reasoning": F.concat(F.lit("Fallback response: "), F.coalesce(message, F.lit("no detail"))),
+        "contains_children": none, "is_appropriate": none, "dimensions": empty, "is_error_fallback": F.lit(True),
+        "error_type": F.coalesce(kind, F.lit("api_error")), "error_message": message,
+    })

@@ -102,3 +102,12 @@ def page(items: DataFrame, offset: int, size: int) -> DataFrame:
     """One page of the inventory in the order image, video, audio, document, path."""
     place = F.array_position(F.array(*map(F.lit, _ORDER)), F.col("media_type"))
     return items.where("media_type is not null").orderBy(place, "path").offset(offset).limit(size)
+
+
+def kinds(items: DataFrame) -> DataFrame:
+    """One row: which types the collection has, and the predominant one of the whole."""
+    one = predominant_types(items.withColumn("folder", F.lit("all")))
+    has = items.agg(*[F.coalesce(F.bool_or(F.col("media_type") == k), F.lit(False)).alias(k) for k in _ORDER])
+    return has.withColumn("__k", F.lit("all")).join(one.withColumnRenamed("folder", "__k"), "__k", "left").select(
+        *_ORDER, F.coalesce("kind", F.lit("image")).alias("kind")
+    )
