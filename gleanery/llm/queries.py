@@ -90,4 +90,23 @@ dr as (select doc_id, unnest(list_transform(range(1, len(w) - 8), lambda i: arra
 er as (select item_id, unnest(list_transform(range(1, len(w) - 8), lambda i: array_to_string(w[i:i + 9], ' '))) as run
   from e where len(w) >= 10)
 select distinct doc_id, item_id from dr join er using (run)""",
+    "p3_groups": """with recursive tokens as (
+  select feature_id, regexp_extract_all(lower(text_content), '[\\p{L}\\p{N}]+') as w from document_features where text_content is not null),
+sh as (
+  select distinct feature_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) as s
+  from tokens where len(w) >= 5),
+sets as (select feature_id, list_sort(list(s)) as l, count(*) as n from sh group by feature_id),
+members as (select feature_id, min(feature_id) over (partition by l) as rep, n from sets),
+copies as (select rep, count(*) as copies, any_value(n) as n from members group by rep),
+common as (
+  select a.feature_id as a, b.feature_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.feature_id < b.feature_id
+  where a.feature_id in (select rep from copies) and b.feature_id in (select rep from copies) group by 1, 2),
+links as (select a, b from common join copies x on x.rep = a join copies y on y.rep = b where c >= 0.8 * (x.n + y.n - c)),
+both_ways as (select a, b from links union all select b, a from links union all select rep, rep from copies),
+reach(a, b) as (select a, b from both_ways union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+grouped as (select a as rep, min(b) as group_id from reach group by a),
+linked as (select a as rep, count(*) as links from (select a from links union all select b from links) group by a)
+select feature_id, group_id, rep as class_id, coalesce(links, 0) as links
+from members join copies using (rep) join grouped using (rep) left join linked using (rep)
+where copies > 1 or links is not null""",
 }
