@@ -288,8 +288,8 @@ def clusters(
     """(members, points). members: id, cluster (its smallest id), size, rep; rows joined by chains of cosines of
     ``limit`` or more, clusters of ``least`` rows or more. points: rep, vec of the distinct vectors.
 
-    Null, empty, zero, non-finite vectors and such of another length are in no cluster; rows repeated under one id
-    count once; exact copies are collapsed before and expanded after the search; an empty table gives empty results;
+    Ids stand for one vector each; equal rows repeated under one id count once. Null ids, null, empty, zero and
+    non-finite vectors and such of another length are in no cluster; exact copies are collapsed before and expanded after the search; an empty table gives empty results;
     extra columns are ignored.
     """
     scratch = Scratch(df.sparkSession)

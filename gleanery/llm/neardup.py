@@ -180,7 +180,8 @@ def near_duplicates(
     with the same shingle set. pairs: (a, b, similarity) of such representatives, a < b, with a Jaccard similarity of
     ``limit`` or more.
 
-    Null, empty and shorter texts are in neither; repeated rows count once; ties and equal texts share a
+    Ids stand for one text each; equal rows repeated under one id count once, and of different texts under one id any
+    may be the one compared. Null ids, null, empty and shorter texts are in neither; equal texts share a
     representative; very long texts are taken whole; an empty table gives empty results; extra columns are ignored.
     A group of equal texts, even a third of all rows, is one row in all joins. Pairs are found with a probability of
     0.9995 at the limit, and more above it; all that are returned are exact.

@@ -134,8 +134,8 @@ def nearest(
     """(id, other, cosine, rank): the k nearest other rows of every row with a usable vector, as far as the cosine is
     at least ``limit``; equal cosines (rounded to 9 decimals) go by the smaller id.
 
-    Null, empty, zero, non-finite vectors and such of another length are no rows; rows repeated under one id count
-    once; an empty table gives an empty result; extra columns are ignored. Exact copies are collapsed first: a copy
+    Ids stand for one vector each; equal rows repeated under one id count once. Null ids, null, empty, zero and
+    non-finite vectors and such of another length are no rows; an empty table gives an empty result; extra columns are ignored. Exact copies are collapsed first: a copy
     class stands for its k+1 smallest ids in the lists of others, so a class with a third of all rows costs no more.
     """
     scratch = Scratch(df.sparkSession)
