@@ -190,3 +190,17 @@ def test_hashed_features(spark):
     df = spark.createDataFrame([(1, "one two two"), (2, "one three"), (3, None), (4, "")], "doc long, text string")
     got = {r["id"]: r["vec"] for r in clusters.hashed_features(df, "doc", "text", 16).collect()}
     assert got[3] is None and got[4] is None and len(got[1]) == 16 and any(got[1]) and got[1] != got[2]
+
+
+def test_a_third_of_all_rows_in_one_tight_group(spark):
+    """Hot cells are worked off in pairs of blocks, and kd-trees divide what is dense; nothing is lost."""
+    rng = np.random.default_rng(12)
+    head = rng.standard_normal(64)
+    m = np.concatenate([head / np.linalg.norm(head) + 0.03 * rng.standard_normal((300, 64)), rng.standard_normal((600, 64))]).astype(np.float32)
+    df = spark.createDataFrame(_rows(m), SHAPE)
+    near, comp = _brute(list(range(1, 901)), m, 5, 0.85)
+    members, _ = clusters.clusters(df, "feature_id", "embedding", 64, 0.85, least=3, cell_rows=300, block_rows=64)
+    assert {r["id"] for r in members.collect()} == {i for i, c in comp.items() if list(comp.values()).count(c) >= 3} == set(range(1, 301))
+    got = {(r["id"], r["other"]) for r in neighbours.nearest(df, "feature_id", "embedding", 64, leaf_rows=200).collect()}
+    want = {(i, o) for i, v in near.items() for o in v}
+    assert len(want) == 1500 and len(got & want) >= 0.9 * len(want)
