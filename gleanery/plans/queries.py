@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import html, media
@@ -628,22 +628,36 @@ def document_previews(spark, sf_dir):
     )
 
 
+def _page(text: Column) -> Column:
+    """A page around ``text`` whose style and script hold markup."""
+    body = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    head = '<html><head><style>p {x: "<b>"}</style><script>var t = "</p>";</script></head><body><p>'
+    return F.concat(F.lit(head), body, F.lit("</p></body></html>"))
+
+
 @query(
     r"""select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents where text is not null
 and not regexp_matches(text, '[^\x20-\x7e\s]')"""
 )
 def html_text(spark, sf_dir):
-    """Text of pages whose scripts hold markup, compared after joining white space."""
-    page = F.concat(
-        F.lit('<html><head><style>p {x: "<b>"}</style><script>var t = "</p>";</script></head><body><p>'),
-        F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")),
-        F.lit("</p></body></html>"),
-    )
+    """Text of pages whose scripts hold markup, compared after joining white space; of printable ASCII texts only."""
     docs = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x20-\x7e\s]"))
-    out = html.with_html_text(docs.select("doc_id", page.alias("page")), "page")
+    out = html.with_html_text(docs.select("doc_id", _page(F.col("text")).alias("page")), "page")
     return out.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
 
 
+#: What str.isspace() holds, as html.parser's texts are stripped of it; said by code points, since \s differs between engines.
+_BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]+"
+
+
+@query(f"""select doc_id, trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')) as text from documents where text is not null""")
+def html_text_all(spark, sf_dir):
+    """html_text over every document, in any script."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    out = html.with_html_text(docs.select("doc_id", _page(F.col("text")).alias("page")), "page")
+    return out.select("doc_id", F.trim(F.regexp_replace("text", _BLANKS, " ")).alias("text"))
+
+
 @query(
     """with f as (select item_id, cast(size_bytes % 40 as int) as n, cast(size_bytes % 1000 as int) as w, cast(size_bytes // 1000 % 1000 as int) as h
   from media_items where size_bytes is not null)
