@@ -133,9 +133,9 @@ def reasons_by_category(feedback: DataFrame, most: int = 20) -> DataFrame:
 
 
 def recent(feedback: DataFrame, most: int = 20) -> DataFrame:
-    """The last ``most`` corrections, oldest of them first."""
-    last = feedback.orderBy(F.desc_nulls_last("submitted_at"), F.desc("file_path")).limit(most)
-    return last.orderBy(F.asc_nulls_first("submitted_at"), "file_path")
+    """The last ``most`` corrections, oldest of them first; those of one file at one time go by category."""
+    last = feedback.orderBy(F.desc_nulls_last("submitted_at"), F.desc("file_path"), F.desc("correct_category")).limit(most)
+    return last.orderBy(F.asc_nulls_first("submitted_at"), "file_path", "correct_category")
 
 
 def corrections(moved: DataFrame, known: DataFrame, name: str, was: str, now: str) -> DataFrame:

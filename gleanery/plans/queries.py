@@ -708,9 +708,10 @@ def stream_sessions(spark, sf_dir):
 # ------------------------------------------------------------------------------------------ feedback and the whole way
 
 
-def _feedback(spark, sf_dir) -> DataFrame:
-    """Judgements of one config read as corrections."""
-    return judgements(spark, sf_dir, "config_id", "path", "classification", "reasoning", "judged_at").where("config_id = 1").select(
+def _feedback(spark, sf_dir, config_id: int | None = 1) -> DataFrame:
+    """Judgements of one config read as corrections; of every config, where it is None."""
+    rows = judgements(spark, sf_dir, "config_id", "path", "classification", "reasoning", "judged_at")
+    return (rows if config_id is None else rows.where(F.col("config_id") == config_id)).select(
         F.col("path").alias("file_path"), F.nullif(F.trim("classification"), F.lit("Ignore")).alias("correct_category"), "reasoning",
         F.col("judged_at").alias("submitted_at"), "result_id",
     )
@@ -738,6 +739,31 @@ def feedback_recent(spark, sf_dir):
     return labels.recent(_feedback(spark, sf_dir)).select("file_path", "correct_category", "submitted_at")
 
 
+_ALL_FEEDBACK = f"""with {_LATEST}, f as (select path as file_path, nullif(trim(classification), 'Ignore') as correct_category, reasoning, judged_at as submitted_at
+  from latest_results),
+n as (select coalesce(correct_category, 'unknown') as category, * from f)"""
+
+
+@query(
+    f"""{_ALL_FEEDBACK},
+r as (select category, reasoning, row_number() over (partition by category order by submitted_at nulls first, file_path nulls first, reasoning) as k from n where trim(reasoning) <> ''),
+l as (select category, list(reasoning order by k) as reasons from r where k <= 20 group by category)
+select category, count(*) as n, any_value(coalesce(l.reasons, [])) as reasons from n left join l using (category) group by category"""
+)
+def feedback_reasons_all(spark, sf_dir):
+    """feedback_reasons over the judgements of every config."""
+    return labels.reasons_by_category(_feedback(spark, sf_dir, None))
+
+
+@query(
+    f"""{_ALL_FEEDBACK} select file_path, correct_category, submitted_at from f
+order by submitted_at desc nulls last, file_path desc nulls last, correct_category desc nulls last limit 20"""
+)
+def feedback_recent_all(spark, sf_dir):
+    """feedback_recent over the judgements of every config."""
+    return labels.recent(_feedback(spark, sf_dir, None)).select("file_path", "correct_category", "submitted_at")
+
+
 @query(
     f"""with {_LATEST}, r as (select result_id, trim(classification) as category, row_number() over (partition by trim(classification) order by result_id) as k,
   count(*) over (partition by trim(classification)) as c from latest_results)
@@ -760,6 +786,18 @@ def correction_table(spark, sf_dir):
     return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
 
 
+@query(
+    f"""{_MOVES}, m as (select * from f where was <> now),
+k as (select item_id, min(trim(classification)) as category from latest_results group by item_id)
+select item_id, now as category, case when was in ('Share', 'Storage') and now in ('Share', 'Storage') then 5 else 4 end as confidence, 'move' as source from m
+union all select item_id, category, 3, 'known' from k where item_id not in (select item_id from m)"""
+)
+def correction_table_all(spark, sf_dir):
+    """correction_table with every judged item known."""
+    known = judgements(spark, sf_dir, "item_id", "classification").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
+    return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
+
+
 @query()
 def classify_collection(spark, sf_dir):
     """The whole pipeline over all media items with the deterministic judge."""

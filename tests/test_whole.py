@@ -12,3 +12,13 @@ def test_html_of_every_text(spark):
     got = {r["doc_id"]: r["text"] for r in queries.html_text_all(spark, SF).collect()}
     assert got == {k: " ".join(t.split()) for k, t in texts.items()}
     assert any(not t.isascii() for t in got.values())
+
+
+def test_feedback_of_every_config(spark):
+    rows = queries.judgements(spark, SF, "config_id", "item_id")
+    assert rows.where("config_id <> 1").count() > 0
+    assert sum(r["n"] for r in queries.feedback_reasons_all(spark, SF).collect()) == rows.count()
+    last = [r["judged_at"] for r in queries.judgements(spark, SF, "judged_at").where("judged_at is not null").collect()]
+    assert [r["submitted_at"] for r in queries.feedback_recent_all(spark, SF).collect()] == sorted(last)[-20:]
+    known = {r["item_id"] for r in rows.collect()}
+    assert {r["item_id"] for r in queries.correction_table_all(spark, SF).collect()} == known and any((i or 0) % 5 for i in known)
