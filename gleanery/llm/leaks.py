@@ -113,7 +113,7 @@ def _tiled(least: int):
 
 def leaks(
     docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, run: int = 10,
-    tile: int = 5, seed: int = 8, broadcast_seeds: int = 500_000,
+    tile: int = 5, seed: int = 8, broadcast_seeds: int = 500_000, share: float | None = None,
 ) -> DataFrame:
     """(doc, item, longest, covered, tiles, item_words) for every document and item with a common run of ``run``
     words: the longest tile, the item's words covered by tiles of ``tile`` words or more, their number, its length.
@@ -122,28 +122,42 @@ def leaks(
     every common run of ``run`` words contains; so nothing is missed and few seeds are joined. The items' seeds are
     counted: up to ``broadcast_seeds`` they are broadcast, beyond that the seeds are joined by a shuffle.
 
+    With ``share``, pairs whose tiles cover that share of the item are found too, in whatever order and however short the
+    tiles: the seeds are then runs of ``tile`` words at every place of both. A tile of n words holds n - tile + 1 seeds, so
+    pairs with too few seeds of the item in common for either rule are left untiled; none is lost by that.
+
     Null, empty and shorter texts match nothing; repeated rows count once (rows of one id with different texts each
     count); very long texts are taken whole; empty tables give an empty result; extra columns are ignored.
     """
+    if share is not None:
+        seed = tile
     if not 0 < seed <= run:
         raise ValueError("seed must be in 1..run")
-    step = run - seed + 1
+    step, least = (run - seed + 1, run) if share is None else (1, tile)
     scratch = Scratch(docs.sparkSession)
 
     def worded(df: DataFrame, key: str, text: str) -> DataFrame:
         rows = df.select(F.col(key).alias("id"), word_hashes(F.col(text)).alias("words"))
-        return rows.where((F.size("words") >= run) & F.col("id").isNotNull())
+        return rows.where((F.size("words") >= least) & F.col("id").isNotNull())
 
     def seeds(rows: DataFrame, every: int, name: str) -> DataFrame:
         starts = F.sequence(F.lit(1), F.size("words") - seed + 1, F.lit(every))
         found = F.transform(starts, lambda i: F.xxhash64(F.slice("words", i, seed)))
-        return rows.select(F.col("id").alias(name), F.explode(found).alias("seed"))
+        return rows.select(F.col("id").alias(name), F.posexplode(F.array_distinct(found) if share is not None and name == "doc" else found).alias("place", "seed"))
 
     test, corpus = worded(items, item_id, item_text), worded(docs, doc_id, doc_text)
-    asked = scratch.keep(seeds(test, 1, "item").distinct())
+    places = seeds(test, 1, "item")
+    asked = scratch.keep((places.drop("place") if share is None else places).distinct())
     if asked.count() <= broadcast_seeds:
         asked = F.broadcast(asked)
-    met = seeds(corpus, step, "doc").join(asked, "seed").select("doc", "item").distinct()
+    met = seeds(corpus, step, "doc").drop("place").join(asked, "seed")
+    if share is None:
+        met = met.select("doc", "item").distinct()
+    else:
+        sizes = test.groupBy(F.col("id").alias("item")).agg(F.min(F.size("words")).alias("n"))
+        common = met.select("doc", "item", "place").distinct().groupBy("doc", "item").agg(F.count(F.lit(1)).alias("c"))
+        enough = (F.col("c") * tile >= F.col("n") * share) | (F.col("c") > run - tile)
+        met = common.join(sizes, "item").where(enough).select("doc", "item")
     met = scratch.keep(met)
     wanted = met.join(corpus.toDF("doc", "doc_words"), "doc").join(test.toDF("item", "item_words"), "item")
     kinds = dict(wanted.dtypes)
@@ -151,13 +165,14 @@ def leaks(
         _tiled(tile),
         f"doc {kinds['doc']}, item {kinds['item']}, longest int, covered int, tiles int, item_words int",
     )
-    return tiled.where(F.col("longest") >= run).distinct()
+    long = F.col("longest") >= run
+    return tiled.where(long if share is None else long | (F.col("covered") >= F.col("item_words") * share)).distinct()
 
 
-def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _run(spark: SparkSession, sf_dir: str, share: float | None = None) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf_dir}/eval_items.parquet").select("item_id", "text")
-    return leaks(docs, "doc_id", "text", items, "item_id", "text")
+    return leaks(docs, "doc_id", "text", items, "item_id", "text", share=share)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,9 +181,10 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of each leaked item each document covers; an item is leaked whole where tiles cover 80 % of it."""
+    """How much of each leaked item each document covers: pairs with ten consecutive words in common, or with tiles of five
+    words or more over half of the item. An item is leaked whole where tiles cover 80 % of it."""
     share = F.col("covered") / F.col("item_words")
-    return _run(spark, sf_dir).select(
+    return _run(spark, sf_dir, 0.5).select(
         F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), "longest", "tiles",
         F.round(share, 6).alias("coverage"), (share >= 0.8).alias("whole"),
     )
