@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleanery.operators.components import connected_components
 from gleanery.operators.ordered import Ordered
+from gleanery.scratch import Scratch
 
 
 def capture_time(original: Column, modified: Column, name: Column, stored: Column) -> Column:
@@ -74,21 +75,87 @@ def greedy_groups(unit: np.ndarray, limit: float) -> np.ndarray:
     return label
 
 
+def _forest(m: np.ndarray, limit: float, split: int, rows: int = 64) -> np.ndarray:
+    """The smallest row that each row is joined to by chains of cosines of ``limit`` or more; with ``split`` > 0 only those
+    between rows before it and the others count."""
+    lab = np.arange(len(m))
+    first, other = (len(m), m) if split == 0 else (split, m[split:])
+    for s in range(0, first, rows):
+        i, j = np.nonzero(m[s : min(s + rows, first)] @ other.T >= limit)
+        a, b = lab[i + s], lab[j + split]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+        if not pairs.shape[1]:
+            continue
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
+        for x, y in pairs.T.tolist():
+            x, y = root(x), root(y)
+            up[max(x, y)] = min(x, y)
+        moved = np.arange(len(m))
+        for x in up:
+            moved[x] = root(x)
+        lab = moved[lab]
+    return lab
+
+
+def _split(several: DataFrame, large: DataFrame, limit: float, block_rows: int) -> DataFrame:
+    """``several`` (g, i, item, vec) of the groups in ``large`` (g, size, dim) with ``s``, the first index of the row's
+    component of "cosine >= limit" within its group; null for a row that is like no other. The blocks of a group are
+    compared pair by pair, exactly, and each pair gives a forest, so dense groups give few links; the work is quadratic
+    in a group, but no task holds more than two blocks."""
+    rows = several.join(F.broadcast(large), "g").withColumn("vec", F.when(F.size("vec") == F.col("dim"), F.col("vec")))
+    own, blocks = F.floor(F.col("i") / block_rows).cast("int"), F.ceil(F.col("size") / block_rows).cast("int")
+    usable = rows.where("vec is not null").select("g", "i", F.col("vec").cast("array<double>").alias("vec"), own.alias("own"), blocks.alias("n"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.struct(F.least(k, "own").alias("x"), F.greatest(k, "own").alias("y")))
+    placed = usable.withColumn("p", F.explode(pairs)).select("g", "i", "vec", "own", "p.x", "p.y")
+    kind = dict(several.dtypes)["g"]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        vec = table["vec"].combine_chunks()
+        m = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            m = m / np.linalg.norm(m, axis=1, keepdims=True)
+        split = 0 if table["x"][0].as_py() == table["y"][0].as_py() else int((table["own"].to_numpy() == table["x"][0].as_py()).sum())
+        if split == 0 and table["x"][0].as_py() != table["y"][0].as_py():
+            split = len(table)
+        lab = _forest(m, limit - 1e-6, split)  # a looser limit only joins components, which changes no cluster
+        at = np.flatnonzero(lab != np.arange(len(lab)))
+        i = table["i"].to_numpy()
+        return pa.table({"g": table["g"].take(pa.array(at)), "a": pa.array(i[at], pa.int64()), "b": pa.array(i[lab[at]], pa.int64())})
+
+    links = placed.groupBy("g", "x", "y").applyInArrow(run, f"g {kind}, a long, b long")
+    ends = links.select(F.struct("g", F.col("a").alias("i")).alias("a"), F.struct("g", F.col("b").alias("i")).alias("b"))
+    found = connected_components(ends, "a", "b").select(F.col("node.g").alias("g"), F.col("node.i").alias("i"), F.col("component.i").alias("s"))
+    return rows.select("g", F.col("i").cast("long").alias("i"), "item", "vec").join(found, ["g", "i"], "left")
+
+
 def similar_bursts(
     groups: DataFrame, item: str, vec: str, time: str, limit: float = 0.92, least: int = 2, most: int = 50,
-    keep_tail: bool = True, max_group: int = 20_000,
+    keep_tail: bool = True, max_group: int = 20_000, block_rows: int = 4096,
 ) -> DataFrame:
     """(item, burst_id, burst_index, burst_size) for the rows of ``sessions``: every temporal group is clustered greedily
     by similarity in time order, clusters are cut into slices of ``most``, and what is smaller than ``least`` becomes
     single items. A tail slice below ``least`` is kept as single items, or dropped with keep_tail=False.
 
-    Only groups of two or more reach Python. The rule is sequential within a group; a group of more than ``max_group``
-    items is first cut into stretches of that many, so no task holds more. Null vectors are single items.
+    Only groups of two or more reach Python. The rule is sequential within a group, but a cluster never leaves a component
+    of "cosine >= limit"; so a group of more than ``max_group`` items is clustered component by component, with the same
+    result, and a task holds a component of it. Null vectors are single items.
     """
     kind = dict(groups.dtypes)[item]
-    stretch = F.floor(F.col("group_index") / max_group)
     several = groups.where("group_size > 1").select(
-        F.col("group_id").alias("g"), stretch.alias("s"), F.col("group_index").alias("i"), F.col(item).alias("item"), F.col(vec).alias("vec")
+        F.col("group_id").alias("g"), F.col("group_index").cast("long").alias("i"), F.col(item).alias("item"), F.col(vec).alias("vec")
+    )
+    scratch = Scratch(groups.sparkSession)
+    beyond = several.where(F.col("i") >= max_group).select("g").distinct()
+    large = scratch.keep(
+        several.join(F.broadcast(beyond), "g").groupBy("g").agg((F.max("i") + 1).alias("size"), F.max(F.size("vec")).alias("dim"))
     )
 
     def run(table: pa.Table) -> pa.Table:
@@ -121,11 +188,15 @@ def similar_bursts(
         return out.filter(pa.array(kept))
 
     shape = f"item {kind}, burst_id {kind}, burst_index int, burst_size int"
-    found = several.groupBy("g", "s").applyInArrow(run, shape)
-    alone = groups.where("group_size = 1").select(
-        F.col(item).alias("item"), F.col(item).alias("burst_id"), F.lit(0).alias("burst_index"), F.lit(1).alias("burst_size")
-    )
-    return found.unionByName(alone)
+    alone = groups.where("group_size = 1").select(F.col(item).alias("item"))
+    whole = several.withColumn("s", F.lit(0).cast("long"))
+    if not large.isEmpty():
+        split = scratch.keep(_split(several, large, limit, block_rows))
+        alone = alone.union(split.where("s is null").select("item"))
+        rest = whole.join(F.broadcast(large.select("g")), "g", "left_anti").select("g", "s", "i", "item", "vec")
+        whole = rest.unionByName(split.where("s is not null").select("g", "s", "i", "item", "vec"))
+    found = whole.groupBy("g", "s").applyInArrow(run, shape)
+    return found.unionByName(alone.select("item", F.col("item").alias("burst_id"), F.lit(0).alias("burst_index"), F.lit(1).alias("burst_size")))
 
 
 def similar_pairs(df: DataFrame, item: str, vec: str, dim: int, limit: float, block_rows: int = 4096) -> DataFrame:
@@ -201,7 +272,7 @@ def failed_groups(df: DataFrame, burst: str, source: str) -> DataFrame:
 
 def visual_groups(df: DataFrame, item: str, vec: str, limit: float = 0.92, max_group: int = 20_000) -> DataFrame:
     """(item, burst_id, burst_index, burst_size): greedy clusters over all items in the order of ``item``, for
-    collections without times; stretches of ``max_group`` items are clustered apart."""
+    collections without times; more than ``max_group`` items are clustered component by component, with the same result."""
     placed = Ordered(df.select(item, vec), [F.col(item)]).position("__pos").done()
     one = placed.withColumns({"group_id": F.lit(0), "group_index": (F.col("__pos") - 1).cast("int"), "group_size": F.lit(2)})
     return similar_bursts(one, item, vec, "", limit, least=1, most=2**31 - 1, max_group=max_group)

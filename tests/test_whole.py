@@ -7,6 +7,7 @@ import pytest
 
 from gleanery.functions import html
 from gleanery.llm import leaks
+from gleanery.operators import grouping
 from gleanery.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -67,3 +68,27 @@ def test_coverage_matches_brute_force(spark):
                 want[d, i] = (max(n), sum(n))
     assert {(r["doc"], r["item"]): (r["longest"], r["covered"]) for r in rows} == want
     assert any(n < 10 for n, _ in want.values())
+
+
+@pytest.mark.parametrize("most, least, keep", [(50, 2, True), (4, 3, True), (4, 3, False)])
+def test_bursts_of_large_groups_are_those_of_whole_groups(spark, most, least, keep):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    vecs = [(centres[k % 12] + rng.normal(scale=0.28, size=8)).tolist() for k in range(300)]
+    vecs[7], vecs[20], vecs[33], vecs[50] = None, [], [1.0, 2.0], [0.0] * 8
+    rows = [(1000 + k, "big" if k < 240 else "small", k if k < 240 else k - 240, 240 if k < 240 else 60, vecs[k]) for k in range(300)]
+    df = spark.createDataFrame(rows, "item long, group_id string, group_index int, group_size int, v array<double>")
+    run = lambda **x: sorted(map(tuple, grouping.similar_bursts(df, "item", "v", "", 0.9, least, most, keep, **x).collect()))
+    whole = run()
+    assert run(max_group=100, block_rows=37) == whole == run(max_group=30, block_rows=500)
+    assert max(r[3] for r in whole) == min(most, max(r[3] for r in whole)) > 2
+
+
+def test_visual_groups_cross_stretches(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(5, 8))
+    rows = [(k, (centres[k % 5] + rng.normal(scale=0.2, size=8)).tolist()) for k in range(90)]
+    df = spark.createDataFrame(rows, "item long, v array<double>")
+    whole = sorted(map(tuple, grouping.visual_groups(df, "item", "v").collect()))
+    assert sorted(map(tuple, grouping.visual_groups(df, "item", "v", max_group=20).collect())) == whole
+    assert max(r[3] for r in whole) > 10
