@@ -1,4 +1,4 @@
-"""The whole way of a collection in one lazy plan: scan, group, judge, validate, route, count."""
+"""The way of a collection in one plan: scan, group, judge item by item, validate, route, count."""
 
 from __future__ import annotations
 
@@ -21,7 +21,11 @@ SIMPLE = {
 @dataclass(frozen=True)
 class Pipeline:
     """Each stage is a DataFrame -> DataFrame function and can be replaced. items: item_id, path, media_type, folder, at
-    (timestamp), and text where there is one."""
+    (timestamp), and text and embedding where there are.
+
+    Not part of it yet: groups are not judged at once (judge.group_prompts, spread), so there are no ranks and every item
+    takes route.single, not route.burst. Of the settings, bursts.chunk, routing.burst_rank_consider, diversity,
+    too_similar, retries and retry_delay, and all of quality and documents are checked but read nowhere."""
 
     profile: dict = field(default_factory=lambda: SIMPLE)
     judge: Judge = field(default_factory=SteadyJudge)
@@ -29,13 +33,18 @@ class Pipeline:
     retry: Retry = field(default_factory=Retry)
 
     def group(self, items: DataFrame) -> DataFrame:
-        """Items with group_id, group_index and group_size; those without a time are groups of one."""
+        """Items with group_id, group_index and group_size; those without a time are groups of one. With an embedding column
+        the temporal groups are divided by similarity, into slices; without one they are by time only."""
         b = self.config.bursts
         timed = items.where("at is not null") if b.enabled else items.limit(0)
         alone = items.where("at is null") if b.enabled else items
         kind = dict(items.dtypes)["item_id"]
         single = alone.withColumns({"group_id": F.col("item_id").cast(kind), "group_index": F.lit(0), "group_size": F.lit(1)})
         grouped = grouping.sessions(timed, ["folder"], "at", "item_id", b.window_seconds)
+        if "embedding" in items.columns:
+            found = grouping.similar_bursts(grouped, "item_id", "embedding", "at", b.similarity, b.least, b.most)
+            found = found.toDF("item_id", "group_id", "group_index", "group_size")
+            grouped = grouped.drop("group_id", "group_index", "group_size").join(found, "item_id")
         return grouped.unionByName(single)
 
     def ask(self, grouped: DataFrame, cache: DataFrame | None = None) -> DataFrame:

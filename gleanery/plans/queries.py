@@ -800,7 +800,7 @@ def correction_table_all(spark, sf_dir):
 
 @query()
 def classify_collection(spark, sf_dir):
-    """The whole pipeline over all media items with the deterministic judge."""
+    """The pipeline over all media items with the deterministic judge; they have no vectors, so groups are by time only."""
     from gleanery.plans.pipeline import Pipeline
 
     rows = timed(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "path", "media_type"), "item_id")

@@ -1,6 +1,7 @@
 """Queries and operators that take the whole input, not a part of it."""
 
 import random
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -9,6 +10,8 @@ from gleanery.functions import html
 from gleanery.llm import leaks
 from gleanery.operators import grouping
 from gleanery.plans import queries
+from gleanery.plans.config import Bursts, Config
+from gleanery.plans.pipeline import Pipeline
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +95,16 @@ def test_visual_groups_cross_stretches(spark):
     whole = sorted(map(tuple, grouping.visual_groups(df, "item", "v").collect()))
     assert sorted(map(tuple, grouping.visual_groups(df, "item", "v", max_group=20).collect())) == whole
     assert max(r[3] for r in whole) > 10
+
+
+def test_pipeline_groups_by_similarity(spark):
+    at = datetime(2024, 1, 1)
+    x, y = [1.0, 0.0], [0.0, 1.0]
+    rows = [(k, f"/a/{k}.jpg", "image", "/a", at + timedelta(seconds=k), x if k < 5 else y) for k in range(7)]
+    rows += [(8, "/a/8.jpg", "image", "/a", at + timedelta(seconds=7), None), (9, "/a/9.jpg", "image", "/a", None, x)]
+    df = spark.createDataFrame(rows, "item_id long, path string, media_type string, folder string, at timestamp, embedding array<double>")
+    out = Pipeline(config=Config(bursts=Bursts(least=2, most=3))).run(df).collect()
+    got = {r["item_id"]: (r["group_id"], r["group_index"], r["group_size"]) for r in out}
+    assert len(out) == 9 and got == {
+        0: (0, 0, 3), 1: (0, 1, 3), 2: (0, 2, 3), 3: (3, 0, 2), 4: (3, 1, 2), 5: (5, 0, 2), 6: (5, 1, 2), 8: (8, 0, 1), 9: (9, 0, 1),
+    }
