@@ -50,22 +50,52 @@ def _pptx(z: zipfile.ZipFile) -> tuple[str, dict]:
     return "\n\n".join(parts), {"slides": str(len(slides)), "has_images": str(any(n.startswith("ppt/media/") for n in z.namelist())).lower()}
 
 
+def _column(cell: str) -> int:
+    """Column number from 0 of a reference like AB12."""
+    n = 0
+    for c in cell:
+        if not c.isalpha():
+            break
+        n = n * 26 + ord(c.upper()) - 64
+    return n - 1
+
+
+def _sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of every sheet in the order of the workbook; without a workbook, numbered parts."""
+    have = z.namelist()
+    try:
+        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        links = ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))
+    except KeyError:
+        return [(f"Sheet {k}", n) for k, n in enumerate(_numbered(have, r"xl/worksheets/sheet(\d+)\.xml"), 1)]
+    part = {r.get("Id"): (r.get("Target") or "") for r in links}
+    found = []
+    for k, s in enumerate((s for s in book.iter() if _local(s.tag) == "sheet"), 1):
+        target = part.get(next((v for a, v in s.attrib.items() if _local(a) == "id"), ""), "")
+        path = target[1:] if target.startswith("/") else f"xl/{target}"
+        if path in have:
+            found.append((s.get("name") or f"Sheet {k}", path))
+    return found
+
+
 def _xlsx(z: zipfile.ZipFile) -> tuple[str, dict]:
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")):
             shared.append("".join(t.text or "" for t in s.iter() if _local(t.tag) == "t"))
-    sheets = _numbered(z.namelist(), r"xl/worksheets/sheet(\d+)\.xml")
+    sheets = _sheets(z)
     out = []
-    for k, name in enumerate(sheets[:MOST_SHEETS], 1):
-        lines, seen = [f"Sheet {k}"], 0
+    for title, name in sheets[:MOST_SHEETS]:
+        lines, seen = [title], 0
         for row in (r for r in ElementTree.fromstring(z.read(name)).iter() if _local(r.tag) == "row"):
             seen += 1
             if seen > MOST_ROWS:
                 lines.append("[more rows]")
                 break
-            cells = []
+            cells: list[str] = []
             for c in row:
+                at = _column(c.get("r") or "")
+                cells += [""] * (at - len(cells))  # cells that the file leaves out
                 value = "".join(t.text or "" for t in c.iter() if _local(t.tag) in ("v", "t"))
                 cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
             if any(x.strip() for x in cells):

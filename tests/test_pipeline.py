@@ -37,6 +37,13 @@ def test_office_files(spark):
     assert office.extract("pptx", PPTX)[0] == "Slide 1\nS2\n\nSlide 2\nS10"
     text, meta = office.extract("xlsx", XLSX)
     assert text.startswith("Sheet 1\nname\t5\n1") and text.endswith("[more rows]") and text.count("\n1") == 98 and meta == {"sheets": "1"}
+    book = _zip({
+        "xl/workbook.xml": f'<w:b {W} xmlns:r="urn:r"><w:sheets><w:sheet name="Zeta" r:id="b"/><w:sheet name="Alpha" r:id="a"/></w:sheets></w:b>',
+        "xl/_rels/workbook.xml.rels": '<R><R Id="a" Target="worksheets/sheet1.xml"/><R Id="b" Target="/xl/worksheets/sheet2.xml"/></R>',
+        "xl/worksheets/sheet1.xml": f'<w:s {W}><w:row><w:c r="B1"><w:v>1</w:v></w:c><w:c r="AA1"><w:v>2</w:v></w:c></w:row></w:s>',
+        "xl/worksheets/sheet2.xml": f'<w:s {W}><w:row><w:c r="A1" t="inlineStr"><w:is><w:t>x</w:t></w:is></w:c><w:c r="C1"><w:v>3</w:v></w:c></w:row></w:s>',
+    })
+    assert office.extract("xlsx", book) == ("Zeta\nx\t\t3\n\nAlpha\n\t1" + "\t" * 25 + "2", {"sheets": "2"})
     assert office.extract("docx", b"no zip") == ("", {}) and office.extract("html", b"<p>a</p>")[0] == "a"
     assert office.extract("txt", "é".encode("latin-1"))[0] == "é" and office.extract(None, None) == ("", {})
     df = spark.createDataFrame([("a", "docx", bytearray(DOCX)), ("b", "txt", bytearray(b"x\x00y")), ("c", None, None)], "path string, ext string, content binary")
