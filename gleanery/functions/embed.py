@@ -31,8 +31,8 @@ class HashedTrigrams:
         return out
 
 
-def with_embedding(df: DataFrame, text: str, embedder: Embedder, most: int = 10_000, out: str = "embedding", parity: bool = False) -> DataFrame:
-    """``df`` with unit vectors of the first ``most`` characters; null for null and blank texts and for zero vectors
+def with_embedding(df: DataFrame, text: str, embedder: Embedder, most: int | None = None, out: str = "embedding", parity: bool = False) -> DataFrame:
+    """``df`` with unit vectors of the whole texts, or of their first ``most`` characters where a model reads no more; null for null and blank texts and for zero vectors
     (with parity=True a zero vector). The embedder is made once per worker process and gets whole batches."""
     names = df.columns
     shape = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out}` array<float>"])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.functions import html, media
+from gleanery.functions import html, media, prompts
 from gleanery.operators import grouping, judge, labels, recover, route, stats, validate
 from gleanery.sources import inventory
 from gleanery.streaming import bursts as streaming
@@ -400,8 +400,6 @@ def dimension_names(spark, sf_dir):
 @query()
 def judged_documents(spark, sf_dir):
     """Documents judged by the deterministic judge behind the same interface as any other, in Arrow batches."""
-    from gleanery.functions import prompts
-
     profile = {"name": "plain", "categories": [{"name": n} for n in VALID], "thresholds": {"Share": 4, "Review": 3}}
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", prompts.item_prompt(profile, "document", F.col("source"), F.col("text")).alias("prompt")
@@ -451,11 +449,11 @@ def pairwise_labels(spark, sf_dir):
 @query(
     f"""{_VOTES}, capped as (select *, row_number() over (order by confidence desc, item) as r from labelled where side = 'storage')
 select item, side, confidence from labelled where side = 'share'
-union all select item, side, confidence from capped where r <= (select count(*) from labelled where side = 'share') // 4"""
+union all select item, side, confidence from capped where r <= 3 * (select count(*) from labelled where side = 'share')"""
 )
 def balanced_labels(spark, sf_dir):
-    """The stored side cut to a quarter of the shared one (the usual ratio of 3 would cut nothing here)."""
-    return labels.balanced(_labelled(spark, sf_dir).withColumn("confidence", F.col("confidence")), ratio=0.25)
+    """The stored side cut to three times the shared one."""
+    return labels.balanced(_labelled(spark, sf_dir))
 
 
 @query(
@@ -552,9 +550,10 @@ def reprocess_plan(spark, sf_dir):
 
 
 @query(
-    f"""with {_LATEST}, h as (select distinct burst_id from latest_results where is_error_fallback and burst_id is not null)
-select result_id, case when coalesce(is_error_fallback, false) then 'error' else 'burst' end as reason from latest_results
-where burst_id in (select burst_id from h) or (burst_id is null and is_error_fallback)"""
+    f"""with {_LATEST}, r as (select result_id, nullif(burst_id, '') as burst_id, coalesce(is_error_fallback, false) as e from latest_results),
+h as (select distinct burst_id from r where e and burst_id is not null)
+select result_id, case when e then 'error' else 'burst' end as reason from r
+where burst_id in (select burst_id from h) or (burst_id is null and e)"""
 )
 def clear_plan(spark, sf_dir):
     return recover.clear_plan(judgements(spark, sf_dir, "burst_id", "is_error_fallback"), "burst_id", "result_id", "is_error_fallback")
@@ -605,26 +604,26 @@ def cache_sizes(spark, sf_dir):
 
 
 @query(
-    r"""select doc_id, cast(length(text) as bigint) as text_length, cast(length(text[:500]) as bigint) as kept_length,
+    r"""select doc_id, cast(length(text) as bigint) as text_length, cast(least(length(text), 50000) as bigint) as kept_length,
   cast(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) as bigint) as word_count, cast(length(text) // 4 as bigint) as tokens
 from documents where text is not null"""
 )
 def document_features(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").where("text is not null").select(
-        "doc_id", F.length(t).cast("long").alias("text_length"), F.length(media.kept_text(t, 500)).cast("long").alias("kept_length"),
+        "doc_id", F.length(t).cast("long").alias("text_length"), F.length(media.kept_text(t)).cast("long").alias("kept_length"),
         media.word_count(t).alias("word_count"), media.token_estimate(t).alias("tokens"),
     )
 
 
 @query(
-    """select doc_id, case when length(text) > 300 then text[:300] || chr(10) || '[... cut ...]' else text end as text,
-  '[' || coalesce(source, 'none') || ']' || chr(10) || text[:80] as preview from documents where text is not null"""
+    """select doc_id, case when length(text) > 30000 then text[:30000] || chr(10) || '[... cut ...]' else text end as text,
+  '[' || coalesce(source, 'none') || ']' || chr(10) || text[:2000] as preview from documents where text is not null"""
 )
 def document_previews(spark, sf_dir):
     t = F.col("text")
     return table(spark, sf_dir, "documents").where("text is not null").select(
-        "doc_id", media.marked_cut(t, 300).alias("text"), media.preview(F.coalesce("source", F.lit("none")), t, 80).alias("preview")
+        "doc_id", media.marked_cut(t, prompts.SINGLE_CHARS).alias("text"), media.preview(F.coalesce("source", F.lit("none")), t).alias("preview")
     )
 
 
@@ -635,24 +634,13 @@ def _page(text: Column) -> Column:
     return F.concat(F.lit(head), body, F.lit("</p></body></html>"))
 
 
-@query(
-    r"""select doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) as text from documents where text is not null
-and not regexp_matches(text, '[^\x20-\x7e\s]')"""
-)
-def html_text(spark, sf_dir):
-    """Text of pages whose scripts hold markup, compared after joining white space; of printable ASCII texts only."""
-    docs = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x20-\x7e\s]"))
-    out = html.with_html_text(docs.select("doc_id", _page(F.col("text")).alias("page")), "page")
-    return out.select("doc_id", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
-
-
 #: What str.isspace() holds, as html.parser's texts are stripped of it; said by code points, since \s differs between engines.
 _BLANKS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\p{Z}]+"
 
 
 @query(f"""select doc_id, trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')) as text from documents where text is not null""")
-def html_text_all(spark, sf_dir):
-    """html_text over every document, in any script."""
+def html_text(spark, sf_dir):
+    """Text of pages whose scripts hold markup, of every document in any script, compared after joining white space."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
     out = html.with_html_text(docs.select("doc_id", _page(F.col("text")).alias("page")), "page")
     return out.select("doc_id", F.trim(F.regexp_replace("text", _BLANKS, " ")).alias("text"))
@@ -663,9 +651,14 @@ def html_text_all(spark, sf_dir):
   from media_items where size_bytes is not null)
 select item_id, case when n <= 0 then [] when n <= 8 then list_transform(range(n), lambda i: cast(i as int))
     else list_transform(range(8), lambda i: cast(floor(cast(n as double) / 8 * i) as int)) end as frames,
-  case when w > 0 and h > 0 then list_min([{'off': abs(w / h - 1.0), 'i': 0, 'n': '1:1'}, {'off': abs(w / h - 3/4), 'i': 1, 'n': '3:4'},
-    {'off': abs(w / h - 4/3), 'i': 2, 'n': '4:3'}, {'off': abs(w / h - 9/16), 'i': 3, 'n': '9:16'}, {'off': abs(w / h - 16/9), 'i': 4, 'n': '16:9'},
-    {'off': abs(w / h - 2/3), 'i': 5, 'n': '2:3'}, {'off': abs(w / h - 3/2), 'i': 6, 'n': '3:2'}, {'off': abs(w / h - 21/9), 'i': 7, 'n': '21:9'}]).n end as ratio,
+  case when w > 0 and h > 0 then list_min([{'off': abs(w / h - 1.0), 'i': 0, 'n': '1:1'},
+    {'off': abs(w / h - 2/3), 'i': 1, 'n': '2:3'},
+    {'off': abs(w / h - 3/2), 'i': 2, 'n': '3:2'},
+    {'off': abs(w / h - 3/4), 'i': 3, 'n': '3:4'},
+    {'off': abs(w / h - 4/3), 'i': 4, 'n': '4:3'},
+    {'off': abs(w / h - 9/16), 'i': 5, 'n': '9:16'},
+    {'off': abs(w / h - 16/9), 'i': 6, 'n': '16:9'},
+    {'off': abs(w / h - 21/9), 'i': 7, 'n': '21:9'}]).n end as ratio,
   case when greatest(w, h) > 512 then cast(floor(w * (512.0::double / greatest(w, h))) as int) else w end as width
 from f"""
 )
@@ -708,17 +701,17 @@ def stream_sessions(spark, sf_dir):
 # ------------------------------------------------------------------------------------------ feedback and the whole way
 
 
-def _feedback(spark, sf_dir, config_id: int | None = 1) -> DataFrame:
-    """Judgements of one config read as corrections; of every config, where it is None."""
-    rows = judgements(spark, sf_dir, "config_id", "path", "classification", "reasoning", "judged_at")
-    return (rows if config_id is None else rows.where(F.col("config_id") == config_id)).select(
+def _feedback(spark, sf_dir) -> DataFrame:
+    """The judgements of every config read as corrections."""
+    rows = judgements(spark, sf_dir, "path", "classification", "reasoning", "judged_at")
+    return rows.select(
         F.col("path").alias("file_path"), F.nullif(F.trim("classification"), F.lit("Ignore")).alias("correct_category"), "reasoning",
         F.col("judged_at").alias("submitted_at"), "result_id",
     )
 
 
 _FEEDBACK = f"""with {_LATEST}, f as (select path as file_path, nullif(trim(classification), 'Ignore') as correct_category, reasoning, judged_at as submitted_at
-  from latest_results where config_id = 1),
+  from latest_results),
 n as (select coalesce(correct_category, 'unknown') as category, * from f)"""
 
 
@@ -729,41 +722,19 @@ l as (select category, list(reasoning order by k) as reasons from r where k <= 2
 select category, count(*) as n, any_value(coalesce(l.reasons, [])) as reasons from n left join l using (category) group by category"""
 )
 def feedback_reasons(spark, sf_dir):
+    """Corrections per category with their first reasons."""
     return labels.reasons_by_category(_feedback(spark, sf_dir))
 
 
 @query(
-    f"""{_FEEDBACK} select file_path, correct_category, submitted_at from f order by submitted_at desc nulls last, file_path desc limit 20"""
+    f"""{_FEEDBACK} select file_path, correct_category, submitted_at from f
+order by submitted_at desc nulls last, file_path desc nulls last, correct_category desc nulls last limit 20"""
 )
 def feedback_recent(spark, sf_dir):
+    """The last corrections."""
     return labels.recent(_feedback(spark, sf_dir)).select("file_path", "correct_category", "submitted_at")
 
 
-_ALL_FEEDBACK = f"""with {_LATEST}, f as (select path as file_path, nullif(trim(classification), 'Ignore') as correct_category, reasoning, judged_at as submitted_at
-  from latest_results),
-n as (select coalesce(correct_category, 'unknown') as category, * from f)"""
-
-
-@query(
-    f"""{_ALL_FEEDBACK},
-r as (select category, reasoning, row_number() over (partition by category order by submitted_at nulls first, file_path nulls first, reasoning) as k from n where trim(reasoning) <> ''),
-l as (select category, list(reasoning order by k) as reasons from r where k <= 20 group by category)
-select category, count(*) as n, any_value(coalesce(l.reasons, [])) as reasons from n left join l using (category) group by category"""
-)
-def feedback_reasons_all(spark, sf_dir):
-    """feedback_reasons over the judgements of every config."""
-    return labels.reasons_by_category(_feedback(spark, sf_dir, None))
-
-
-@query(
-    f"""{_ALL_FEEDBACK} select file_path, correct_category, submitted_at from f
-order by submitted_at desc nulls last, file_path desc nulls last, correct_category desc nulls last limit 20"""
-)
-def feedback_recent_all(spark, sf_dir):
-    """feedback_recent over the judgements of every config."""
-    return labels.recent(_feedback(spark, sf_dir, None)).select("file_path", "correct_category", "submitted_at")
-
-
 @query(
     f"""with {_LATEST}, r as (select result_id, trim(classification) as category, row_number() over (partition by trim(classification) order by result_id) as k,
   count(*) over (partition by trim(classification)) as c from latest_results)
@@ -774,26 +745,14 @@ def balanced_categories(spark, sf_dir):
     return labels.balanced_categories(rows, "category", [F.col("result_id")])
 
 
-@query(
-    f"""{_MOVES}, m as (select * from f where was <> now),
-k as (select item_id, min(trim(classification)) as category from latest_results where item_id % 5 = 0 group by item_id)
-select item_id, now as category, case when was in ('Share', 'Storage') and now in ('Share', 'Storage') then 5 else 4 end as confidence, 'move' as source from m
-union all select item_id, category, 3, 'known' from k where item_id not in (select item_id from m)"""
-)
-def correction_table(spark, sf_dir):
-    """Corrections: moves take the place of what was known (here: of every fifth item)."""
-    known = judgements(spark, sf_dir, "item_id", "classification").where("item_id % 5 = 0").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
-    return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
-
-
 @query(
     f"""{_MOVES}, m as (select * from f where was <> now),
 k as (select item_id, min(trim(classification)) as category from latest_results group by item_id)
 select item_id, now as category, case when was in ('Share', 'Storage') and now in ('Share', 'Storage') then 5 else 4 end as confidence, 'move' as source from m
 union all select item_id, category, 3, 'known' from k where item_id not in (select item_id from m)"""
 )
-def correction_table_all(spark, sf_dir):
-    """correction_table with every judged item known."""
+def correction_table(spark, sf_dir):
+    """Corrections: moves take the place of what was known of every judged item."""
     known = judgements(spark, sf_dir, "item_id", "classification").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
     return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
 
