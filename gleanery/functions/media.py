@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Aspect ratios that images are offered in, first one wins ties.
-RATIOS = (("1:1", 1.0), ("3:4", 3 / 4), ("4:3", 4 / 3), ("9:16", 9 / 16), ("16:9", 16 / 9), ("2:3", 2 / 3), ("3:2", 3 / 2), ("21:9", 21 / 9))
+RATIOS = (("1:1", 1.0), ("2:3", 2 / 3), ("3:2", 3 / 2), ("3:4", 3 / 4), ("4:3", 4 / 3), ("9:16", 9 / 16), ("16:9", 16 / 9), ("21:9", 21 / 9))
 
 
 def quality(sharpness: Column, brightness: Column, w_sharp: float = 0.8, w_bright: float = 0.2) -> Column:
@@ -22,19 +22,21 @@ def passes_quality(score: Column, least: float = 0.3) -> Column:
 
 
 def faces(boxes: Column, width: Column, height: Column, most: int = 10) -> Column:
-    """A struct of face measures from array<struct<w, h, eyes, smiles>>; zeros for no boxes. Counts stop at ``most``."""
+    """A struct of face measures from array<struct<w, h, eyes, smiles>>; zeros for no boxes or null.
+    Sizes are shares of the image; num_faces stops at ``most``, the numbers of faces with both eyes and with a smile do not."""
     area = lambda b: b["w"].cast("double") * b["h"]
     total = F.aggregate(boxes, F.lit(0.0), lambda t, b: t + area(b))
     n, whole = F.size(boxes), width.cast("double") * height
-    some = n > 0
+    some = F.coalesce(n > 0, F.lit(False))
+    having = lambda rule: F.when(some, F.size(F.filter(boxes, rule))).otherwise(0)
     return F.struct(
         F.when(some, F.least(n, F.lit(most))).otherwise(0).alias("num_faces"),
         F.when(some, total / whole).otherwise(0.0).alias("face_ratio"),
         F.when(some, F.array_max(F.transform(boxes, area)) / whole).otherwise(0.0).alias("largest_face_ratio"),
         some.cast("int").alias("has_face"),
-        F.when(some, total / n).otherwise(0.0).alias("avg_face_size"),
-        F.exists(boxes, lambda b: b["eyes"] >= 2).cast("int").alias("eyes_detected"),
-        F.exists(boxes, lambda b: b["smiles"] > 0).cast("int").alias("smile_detected"),
+        F.when(some, total / n / whole).otherwise(0.0).alias("avg_face_size"),
+        having(lambda b: b["eyes"] >= 2).alias("eyes_detected"),
+        having(lambda b: b["smiles"] > 0).alias("smile_detected"),
     )
 
 

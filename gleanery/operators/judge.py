@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -63,16 +64,21 @@ def ask(judge: Judge, prompt: str, retry: Retry, usable: Callable[[str], bool] =
     return None, kind, message, max(0, retry.attempts - 1)
 
 
-def judged(df: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Retry()) -> DataFrame:
-    """(key, reply, error_type, error_message, retry_count) for every row: one prompt, one reply."""
+def judged(df: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Retry(), workers: int = 10) -> DataFrame:
+    """(key, reply, error_type, error_message, retry_count) for every row: one prompt, one reply. A task has up to
+    ``workers`` requests under way at a time; a judge must bear that, or be asked with workers=1."""
     kind = dict(df.dtypes)[key]
 
+    def one(text: object) -> tuple[str | None, str | None, str | None, int]:
+        return ask(judge, text, retry) if isinstance(text, str) else (None, "load_error", "no prompt", 0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            got = [ask(judge, p, retry) if isinstance(p, str) else (None, "load_error", "no prompt", 0) for p in b[prompt]]
-            out = pd.DataFrame(got, columns=["reply", "error_type", "error_message", "retry_count"])
-            out.insert(0, key, b[key].to_numpy())
-            yield out
+        with ThreadPoolExecutor(max(1, workers)) as pool:
+            for b in batches:
+                got = list(pool.map(one, b[prompt]) if workers > 1 else map(one, b[prompt]))
+                out = pd.DataFrame(got, columns=["reply", "error_type", "error_message", "retry_count"])
+                out.insert(0, key, b[key].to_numpy())
+                yield out
 
     shape = f"`{key}` {kind}, reply string, error_type string, error_message string, retry_count int"
     return df.select(key, prompt).mapInPandas(run, shape)
@@ -86,7 +92,7 @@ def group_prompts(df: DataFrame, group: str, position: str, line: str, chunk: in
     return df.groupBy(group, part).agg(F.array_join(lines, "\n").alias("prompt"), F.count(F.lit(1)).alias("members"))
 
 
-def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Retry()) -> DataFrame:
+def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Retry(), workers: int = 10) -> DataFrame:
     """Replies from ``cache`` (key, reply) where there are, from the judge otherwise; ``cached`` tells which. Failures
     carry no reply and should not be written to the cache."""
     hits = df.select(key).join(cache.select(key, "reply"), key).select(
@@ -94,7 +100,7 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Ju
         F.lit(0).alias("retry_count"), F.lit(True).alias("cached"),
     )
     misses = df.join(cache.select(key), key, "left_anti")
-    return hits.unionByName(judged(misses, key, prompt, judge, retry).withColumn("cached", F.lit(False)))
+    return hits.unionByName(judged(misses, key, prompt, judge, retry, workers).withColumn("cached", F.lit(False)))
 
 
 def spread(groups: DataFrame, replies: DataFrame, group: str, position: str, listed: str, out: str = "judgement") -> DataFrame:
@@ -104,7 +110,7 @@ def spread(groups: DataFrame, replies: DataFrame, group: str, position: str, lis
     return groups.join(flat, [group, position], "left")
 
 
-def bundle_prompts(files: DataFrame, bundle: str, path: str, line: str, most: int = 50) -> DataFrame:
+def bundle_prompts(files: DataFrame, bundle: str, path: str, line: str, most: int = 10_000) -> DataFrame:
     """(bundle, files, prompt): one prompt per bundle from its first ``most`` files by path and the number of all; no
     more than that is gathered for a bundle."""
     from pyspark.sql.window import Window

@@ -33,7 +33,9 @@ def reprocess_plan(results: DataFrame, burst: str, item: str, failed_flag: str)
 
 
 def clear_plan(results: DataFrame, burst: str, item: str, failed_flag: str) -> DataFrame:
-    """(item, reason): items with an error, and all members of a burst in which one failed."""
+    """(item, reason): items with an error, and all members of a burst in which one failed. A null or empty burst is none,
+    as in CSV reports."""
+    results = results.withColumn(burst, F.nullif(F.col(burst), F.lit("")))
     error = F.coalesce(F.col(failed_flag), F.lit(False))
     bad = results.where(error)
     hit = bad.where(F.col(burst).isNotNull()).select(burst).distinct()

@@ -47,12 +47,20 @@ def dimension_name(priority: Column) -> Column:
 
 
 def dimensions(values: Column, expected: list[str]) -> Column:
-    """Exactly the expected names; numbers are cut and clamped to 1..5, anything else is null. ``values`` is a map of
-    strings. With nothing expected the map passes."""
+    """A map of exactly the expected names to scores: numbers are cut and clamped to 1..5, booleans count as 0 and 1,
+    anything else (strings of digits too) is null. ``values`` is a VARIANT, as ``lenient_json`` reads it; one that is null
+    or no object has none of the names. With nothing expected ``values`` passes."""
     if not expected:
         return values
-    names = F.array(*map(F.lit, expected))
-    return F.map_from_arrays(names, F.transform(names, lambda n: clamped(F.try_element_at(values, n))))
+
+    def score(name: str) -> Column:
+        path = "$['" + name + "']"
+        kind = F.schema_of_variant(F.try_variant_get(values, path, "variant"))
+        number = F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.try_variant_get(values, path, "double"))
+        return clamped(F.coalesce(number, F.when(kind == "BOOLEAN", F.try_variant_get(values, path, "boolean").cast("double"))))
+
+    names = [n for n in dict.fromkeys(expected)]
+    return F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*map(score, names)))
 
 
 def judgement(

@@ -40,9 +40,12 @@ def newest_entries(cache: DataFrame) -> DataFrame:
     return best.select("store", "key", "e.*")
 
 
-def summary(counts: DataFrame, top: DataFrame, errors: int, seconds: float) -> str:
-    """A text from a count table (destination, n, percent), five top rows (path, score, reason) and totals."""
-    rows = counts.orderBy(F.desc("n"), "destination").limit(200).collect()
+def summary(counts: DataFrame, top: DataFrame, errors: int, seconds: float, most: int = 10_000) -> str:
+    """A text from a count table (destination, n, percent), five top rows (path, score, reason) and totals. Every
+    destination is listed; a table of more than ``most`` is no summary and raises."""
+    rows = counts.orderBy(F.desc("n"), "destination").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} destinations")
     lines = [f"{sum(r['n'] for r in rows)} results in {seconds:.1f} s, {errors} errors"]
     lines += [f"{r['destination']}: {r['n']} ({r['percent']:.1f}%)" for r in rows]
     lines += [f"{k}. {r['path']} ({r['score']}/5) {r['reason'] or ''}".rstrip() for k, r in enumerate(top.limit(5).collect(), 1)]

@@ -83,9 +83,14 @@ def test_judgement_repair(spark):
 
 
 def test_dimensions(spark):
-    values = F.create_map(*[F.lit(x) for x in ("a", "9", "b", "x", "d", "2")])
+    text = '{"a": 9, "b": "x", "d": 2, "n": "4", "f": 3.9, "t": true, "z": -1, "o": {"x": 1}, "e": null}'
+    values = F.parse_json(F.lit(text))
     assert one(spark, validate.dimensions(values, ["a", "b", "c"])) == {"a": 5, "b": None, "c": None}
-    assert one(spark, validate.dimensions(values, [])) == {"a": "9", "b": "x", "d": "2"}
+    rest = one(spark, validate.dimensions(values, ["n", "f", "t", "z", "o", "e"]))
+    assert rest == {"n": None, "f": 3, "t": 1, "z": 1, "o": None, "e": None}
+    assert one(spark, validate.dimensions(F.parse_json(F.lit("[1]")), ["a"])) == {"a": None}
+    assert one(spark, validate.dimensions(F.try_parse_json(F.lit("no")), ["a"])) == {"a": None}
+    assert one(spark, F.to_json(validate.dimensions(F.parse_json(F.lit('{"q": 1}')), []))) == '{"q":1}'
     name = lambda t: one(spark, validate.dimension_name(F.lit(t)))
     assert name("Baby's face (clearly visible!)") == "baby_face_clearly_visible"
     assert name("one two three four five six seven eight nine ten") == "one_two_three_four_five_six_seven_eight" and name("!!") is None
@@ -124,12 +129,21 @@ def test_burst_routes(spark):
 def test_media_arithmetic(spark):
     assert one(spark, media.quality(F.lit(400.0), F.lit(255.0))) == pytest.approx(1.0)
     assert one(spark, media.quality(F.lit(None).cast("double"), F.lit(1.0))) == 0.0
-    boxes = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(w).alias("h"), F.lit(e).alias("eyes"), F.lit(0).alias("smiles")) for w, e in ((10, 2), (20, 1))])
-    f = one(spark, media.faces(boxes, F.lit(100), F.lit(100)))
-    assert (f["num_faces"], f["face_ratio"], f["largest_face_ratio"], f["eyes_detected"], f["smile_detected"]) == (2, 0.05, 0.04, 1, 0)
+    def face(*found, most=10):
+        rows = [F.struct(*[F.lit(x).alias(n) for n, x in zip(("w", "h", "eyes", "smiles"), f)]) for f in found]
+        boxes = F.array(*rows) if rows else F.expr("cast(null as array<struct<w:int,h:int,eyes:int,smiles:int>>)")
+        return tuple(one(spark, media.faces(boxes, F.lit(100), F.lit(100), most)))
+
+    assert face((10, 10, 2, 0), (20, 20, 1, 0)) == (2, 0.05, 0.04, 1, 0.025, 1, 0)
+    assert face((10, 10, 2, 3), (20, 20, 3, 1), (10, 10, 0, 0), most=2) == (2, 0.06, 0.04, 1, pytest.approx(0.02), 2, 2)
+    assert face() == (0, 0.0, 0.0, 0, 0.0, 0, 0)
     assert one(spark, media.frame_indices(F.lit(10), 4)) == [0, 2, 5, 7] and one(spark, media.frame_indices(F.lit(3), 4)) == [0, 1, 2]
     assert one(spark, media.frame_indices(F.lit(0), 4)) == []
     assert one(spark, media.closest_ratio(F.lit(1920), F.lit(1080))) == "16:9" and one(spark, media.closest_ratio(F.lit(0), F.lit(5))) is None
+    assert [n for n, _ in media.RATIOS] == ["1:1", "2:3", "3:2", "3:4", "4:3", "9:16", "16:9", "21:9"]
+    sizes = spark.createDataFrame([(w, h) for w in range(1, 60, 3) for h in range(1, 60, 4)], "w int, h int")
+    for r in sizes.withColumn("got", media.closest_ratio(F.col("w"), F.col("h"))).collect():
+        assert r["got"] == min(media.RATIOS, key=lambda x: abs(x[1] - r["w"] / r["h"]))[0]
     assert tuple(one(spark, media.fitted_size(F.lit(2000), F.lit(1001), 1000))) == (1000, 500)
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(2.0))
     assert one(spark, media.cosine(a, b)) == 0.0 and one(spark, media.cosine(b, b)) == 1.0
@@ -214,12 +228,12 @@ def test_judging(spark):
 
 
 def test_recovery(spark):
-    rows = [(1, None, True), (2, "a", True), (3, "a", True), (4, "b", True), (5, "b", None), (6, "c", False), (7, None, False)]
+    rows = [(1, None, True), (2, "a", True), (3, "a", True), (4, "b", True), (5, "b", None), (6, "c", False), (7, None, False), (8, "", True), (9, "", False)]
     df = spark.createDataFrame(rows, "i int, b string, e boolean")
     plan = {r["unit"]: (r["mode"], r["items"]) for r in recover.reprocess_plan(df, "b", "i", "e").collect()}
-    assert plan == {"item-1": ("single", 1), "a": ("whole", 2), "b": ("members", 1)}
+    assert plan == {"item-1": ("single", 1), "a": ("whole", 2), "b": ("members", 1), "item-8": ("single", 1)}
     clear = {r["i"]: r["reason"] for r in recover.clear_plan(df, "b", "i", "e").collect()}
-    assert clear == {1: "error", 2: "error", 3: "error", 4: "error", 5: "burst"}
+    assert clear == {1: "error", 2: "error", 3: "error", 4: "error", 5: "burst", 8: "error"}
     assert recover.failed(df).count() == 0
     assert one(spark, recover.is_error(None, F.lit("Fallback response: x"))) is True and one(spark, recover.is_error(None, F.lit(None).cast("string"))) is False
     items = spark.createDataFrame([("p",), ("q",), ("r",)], "path string")
