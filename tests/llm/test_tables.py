@@ -74,31 +74,29 @@ def _duels(n=2500, items=60, seed=5):
 
 
 def _reference(rows, penalty):
-    """Newton with dense matrices."""
+    """Newton with dense matrices over all strengths and both parameters."""
     names = sorted({r[i] for r in rows for i in (1, 2)})
-    at = {n: i for i, n in enumerate(names)}
-    x, first, draw = np.zeros(len(names)), 0.0, 0.0
+    at, k = {n: i for i, n in enumerate(names)}, len({r[i] for r in rows for i in (1, 2)})
+    z = np.zeros(k + 2)
     for _ in range(60):
-        g, h = -penalty * x, penalty * np.eye(len(names))
-        gf = vf = gd = vd = 0.0
+        g, h = -penalty * np.r_[z[:k], 0, 0], penalty * np.diag(np.r_[np.ones(k), 0, 0])
         for _, a, b, c, _, w, *_ in rows:
             w = 2.0 if w is None else w
-            i, j, c = at[a], at[b], c.strip().lower()
-            up = math.exp((x[i] - x[j] + first) / 2)
-            z = up + 1 / up + math.exp(draw)
-            p, q, e = up / z, 1 / up / z, math.exp(draw) / z
-            y = {"left": 0.5, "right": -0.5}.get(c, 0.0)
-            s, v = w * (y - (p - q) / 2), w * ((p + q) / 4 - ((p - q) / 2) ** 2)
-            g[i] += s
-            g[j] -= s
-            h[i, i] += v
-            h[j, j] += v
-            h[i, j] -= v
-            h[j, i] -= v
-            gf, vf, gd, vd = gf + s, vf + v, gd + w * (c in ("both", "neither")) - w * e, vd + w * e * (1 - e)
-        x = x + np.linalg.solve(h, g)
-        first, draw = first + gf / vf, draw + gd / vd
-    return dict(zip(names, x)), first, draw
+            e = np.zeros(k + 2)
+            e[at[a]], e[at[b]], e[k] = 1, -1, 1
+            d = np.eye(k + 2)[k + 1]
+            weights = np.exp([e @ z / 2, -(e @ z) / 2, z[k + 1]])
+            p = weights / weights.sum()
+            x = np.stack([e / 2, -e / 2, d])  # what each outcome's weight depends on
+            mean = p @ x
+            chosen = {"left": 0, "right": 1}.get(c.strip().lower(), 2)
+            g += w * (x[chosen] - mean)
+            h += w * ((x * p[:, None]).T @ x - np.outer(mean, mean))
+        step = np.linalg.solve(h, g)
+        z = z + step
+        if np.abs(step).max() < 1e-12:
+            break
+    return dict(zip(names, z[:k])), z[k], z[k + 1]
 
 
 def test_ranking_is_the_penalised_maximum(spark):
@@ -106,14 +104,18 @@ def test_ranking_is_the_penalised_maximum(spark):
     extra = [rows[0], (5000, "p00", "p00", "left", "within_burst", 1.0, AT, "", 1), (5001, "p00", None, "left", "", 1.0, AT, "", 1),
              (5002, "p01", "p02", "skip", "", 1.0, AT, "", 1), (5003, "p01", "p02", None, "", 1.0, AT, "", 1), (None, "p01", "p02", "left", "", 1.0, AT, "", 1)]
     df = spark.createDataFrame(rows + extra, PAIRS)
-    got = {r["name"]: r for r in pairwise.ranking(df, tolerance=1e-5, newton=20, inner=25, solved=1e-6).collect()}
+    got = {r["name"]: r for r in pairwise.ranking(df).collect()}  # production settings
     want, first, draw = _reference(rows, 0.25)
-    assert set(got) == set(want) and max(abs(got[n]["strength"] - want[n]) for n in want) < 0.01
+    assert set(got) == set(want) and max(abs(got[n]["strength"] - want[n]) for n in want) < 1e-6
+    joined = {r["name"]: r["strength"] for r in pairwise.ranking(df, dense_items=0).collect()}
+    assert set(joined) == set(want) and max(abs(joined[n] - want[n]) for n in want) < 1e-6
+    _, params = pairwise.strengths(pairwise.verdicts(df, "pair_id", "photo_a", "photo_b", "choice", "weight", "comparison_type"))
+    assert abs(params["first"] - first) < 1e-6 and abs(params["draw"] - draw) < 1e-6
     assert abs(first - 0.4) < 0.2 and np.corrcoef([strength[n] for n in want], [got[n]["strength"] for n in want])[0, 1] > 0.95
     decided = sum(r[3].strip().lower() in ("left", "right") for r in rows)
     assert sum(r["decided"] for r in got.values()) == 2 * decided
-    usual = {r["name"]: r["strength"] for r in pairwise.ranking(df).collect()}
-    assert sorted(usual, key=usual.get)[-10:] == sorted(want, key=want.get)[-10:]
+    with pytest.raises(RuntimeError, match="still move"):
+        pairwise.ranking(df, newton=1)
 
 
 def test_hot_items_are_looked_up_apart(spark):
