@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from gleanery.llm import clusters, neighbours, quotas, subset
+from gleanery.llm import kdtree
 from gleanery.llm.kdtree import KdTree
 
 SHAPE = "feature_id long, embedding array<float>, vec string, rep int, id string, f1 string, miss int"
@@ -132,18 +133,63 @@ def test_local_components_match_brute_force():
     assert [int(x) for x in label] == [comp[i] if size[comp[i]] > 1 else -1 for i in range(len(m))]
 
 
-def test_kdtree_bounds_what_lies_beyond():
+def test_chance_of_a_box_is_the_share_that_falls_into_it():
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((4000, 64))
+    x = rng.standard_normal((3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    y = x + 0.2 / 8 * rng.standard_normal(x.shape)
-    lost, bound = [], []
+    y = x + 0.4 / 8 * rng.standard_normal(x.shape)
+    seen, said = [], []
     for seed in range(12):  # the chance is one over random projections
-        tree = KdTree(x, 8, 4, seed)
-        assert set(tree.leaves(x)) == set(range(16))
-        lost.append((tree.leaves(x) != tree.leaves(y)).mean())
-        bound.append(tree.beyond(x, np.linalg.norm(x - y, axis=1)).mean())
-    assert np.mean(lost) <= 1.05 * np.mean(bound) and max(bound) <= 1
+        basis = np.random.default_rng(seed).standard_normal((64, 8))
+        p, q = x @ basis, y @ basis
+        tree = KdTree(p, 4)
+        at = tree.leaves(p)
+        assert set(at) == set(range(16))
+        seen.append((at == tree.leaves(q)).mean())
+        d = np.linalg.norm(x - y, axis=1)
+        said.append(np.mean([kdtree.inside(p[at == k], *tree.box(k), d[at == k]).mean() for k in range(16)]))
+    assert abs(np.mean(seen) - np.mean(said)) < 0.02
+
+
+def test_chi_square():
+    rng = np.random.default_rng(2)
+    x = (rng.standard_normal((200_000, 24)) ** 2).sum(axis=1)
+    for chance in (0.1, 0.5, 0.99):
+        reach = kdtree.chi_square_reach(chance, 24)
+        assert abs((x <= reach).mean() - chance) < 0.005 and abs(kdtree.chi_square(reach, 24) - chance) < 1e-9
+
+
+def test_leaves_of_deep_trees_are_even():
+    """A sample that grows with the leaves: the largest of 16,384 leaves holds at most four times the mean."""
+    rng = np.random.default_rng(3)
+    heads = rng.standard_normal((300, 64))
+    m = np.concatenate([heads[rng.integers(0, 300, 250_000)] + 0.3 * rng.standard_normal((250_000, 64)), rng.standard_normal((150_000, 64))])
+    p = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32) @ rng.standard_normal((64, 24)).astype(np.float32)
+    p = p[rng.permutation(len(p))]
+    size = np.bincount(KdTree(p[:262_144], 14).leaves(p), minlength=2**14)
+    assert size.max() <= 4 * size.mean() and (size == 0).mean() < 0.01
+
+
+def test_overfull_leaves_are_divided():
+    rng = np.random.default_rng(4)
+    fit = rng.standard_normal((500, 64)).astype(np.float32)
+    tree = neighbours._Tree(fit, 24, 0, 1, 100, 0.99)
+    p = tree.project(rng.standard_normal((5000, 64)))
+    parts = list(tree.parts(0, p))
+    assert sorted(np.concatenate([r for r, _ in parts])) == list(range(5000)) and max(len(r) for r, _ in parts) <= 400
+    for rows, (low, high) in parts:
+        assert (p[rows] >= low).all() and (p[rows] < high).all()
+
+
+def test_rows_that_still_ask_are_compared_with_all(spark):
+    m = _dense(seed=4, groups=30, size=10, alone=200)
+    df = spark.createDataFrame(_rows(m), SHAPE)
+    near, _ = _brute(list(range(1, len(m) + 1)), m, 5, 0.85)
+    tuning = dict(leaf_rows=16, sure=0.999999, max_trees=1)
+    part = {(r["id"], r["other"]) for r in neighbours.nearest(df, "feature_id", "embedding", 64, **tuning).collect()}
+    whole = {(r["id"], r["other"]) for r in neighbours.nearest(df, "feature_id", "embedding", 64, exact=True, block_rows=100, **tuning).collect()}
+    want = {(i, o) for i, v in near.items() for o in v}
+    assert whole == want and part != want
 
 
 def test_quotas_are_balanced_and_exact():
