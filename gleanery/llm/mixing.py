@@ -28,7 +28,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 
 
 def count_tokens(df: DataFrame, text_col: str, out: str = "tokens", ranks: str = RANKS) -> DataFrame:
-    """``df`` without the text, with its number of tokens: 0 for null and empty texts; special strings are text."""
+    """``df`` without the text, with its number of tokens: 0 for null and empty texts; special strings are text; bytes that
+    are no UTF-8 count as the mark of replacement."""
     shape = ", ".join([*(f"`{n}` {t}" for n, t in df.drop(text_col).dtypes), f"`{out}` long"])
     names = [n for n in df.columns if n != text_col]
 
@@ -39,10 +40,10 @@ def count_tokens(df: DataFrame, text_col: str, out: str = "tokens", ranks: str =
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         code = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=table, special_tokens={})
         for b in batches:
-            n = [len(code.encode_ordinary(t)) if t else 0 for t in b.column(text_col).to_pylist()]
+            n = [len(code.encode_ordinary(t.decode("utf-8", "replace"))) if t else 0 for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n, pa.int64())], [*names, out])
 
-    return df.mapInArrow(run, shape)
+    return df.withColumn(text_col, F.col(text_col).cast("binary")).mapInArrow(run, shape)
 
 
 def _tilts(spark: SparkSession, counts: DataFrame, plans: dict[tuple, dict], rounds: int = 60, close: float = 1e-7) -> None:

@@ -1,9 +1,10 @@
 """Problem 9: text cut off by field limits or on its way.
 
-Method: a structural completeness check. A stack automaton follows brackets, quotes, escapes, code fences and markup
-through the whole text; the end is then read as a sentence, a closing line that is no sentence, or neither. Hard
-evidence (an unclosed structure, a mark of loss, a broken character) stands alone; a missing terminator counts only in
-sources whose texts usually have one.
+Method: a structural completeness check. A stack automaton follows brackets, quotes, escapes, code fences and elements
+of markup through the whole text; the end is then read as a sentence, a closing line that is no sentence, or neither.
+Hard evidence (unclosed data or code, a mark of loss, a broken character) stands alone. In running text, a structure
+left open counts unless whole texts of the source leave them open too, a missing terminator only in sources whose texts
+usually have one.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ _LABELS = ("tags", "total", "score", "keywords", "schlagwörter", "gesamt", "sum
 #: Closing rules look at this many last characters at a time; the automaton reads the whole text.
 _LAST = 4096
 _PAIRS = {"}": "{", "]": "[", ")": "("}
+#: Quotes by what may close them; elements that have no end.
+_QUOTES = {"„": "“”\"", "“": "”", "«": "»", "»": "«", "‚": "‘’", "‹": "›"}
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
-_SIGNS = re.compile(r'[{}\[\]()"\\]|```|</?[A-Za-z][^<>]*>?')
+_SIGNS = re.compile(r'[{}\[\]()"\\„“”«»‹›]|```|</?[A-Za-z][^<>]*>?')
+_DATA = re.compile(r'\s*(?:\{\s*["}]|\[\s*[\[{"\]])')
 _MARK = re.compile(r"(?:\[\s*(?:\.{3}|…)\s*\]|\(\s*(?:\.{3}|…)\s*\)|\.{3,}|…|[\[(](?:truncated|cut|snip)[\])])$", re.I)
 _SENTENCE = re.compile(r"[.!?。！？]+[\"'’”»«)\]*_]*$")
 _ASIDE = re.compile(r"\s(?:\([^()\[\]]{1,24}\)|\[[^()\[\]]{1,24}\]|[»«“\"][^»«”\"]{1,24}[«»”\"])$")
@@ -41,64 +46,100 @@ _NAME = re.compile(r"^(?:[—–-]\s*)?(?:[^\W\d_][\w'’.-]*)(?:\s[^\W\d_][\w'
 _GREETING = re.compile(r"^[^\W\d_]+(?:\s[^\W\d_]+){0,3},?$")
 
 
+class _Stack:
+    """A stack that knows how many of each sign it holds, so a text is read in linear time."""
+
+    def __init__(self) -> None:
+        self.signs: list[str] = []
+        self.held: dict[str, int] = {}
+
+    def push(self, sign: str) -> None:
+        self.signs.append(sign)
+        self.held[sign] = self.held.get(sign, 0) + 1
+
+    def close(self, sign: str) -> None:
+        """Takes the last ``sign`` and what was left open within it; nothing where there is none."""
+        if self.held.get(sign):
+            while (top := self.signs.pop()) != sign:
+                self.held[top] -= 1
+            self.held[sign] -= 1
+
+    @property
+    def top(self) -> str:
+        return self.signs[-1] if self.signs else ""
+
+
 def open_structures(text: str) -> list[str]:
-    """What is still open at the end: the automaton's stack. Inside a fence only its end counts, inside a JSON string
-    only escapes and the closing quote; outside JSON, quotes are no structure (feet, inches, apostrophes)."""
-    stack: list[str] = []
-    skip = -1
-    whole = text.lstrip()[:1] in ("{", "[") and re.match(r'\s*(?:\{\s*["}]|\[\s*[\[{"\]])', text) is not None
+    """What is still open at the end: the automaton's stack, lowest first. Inside a fence only its end counts, inside a
+    string of data (a text that begins as JSON does) only escapes and the closing quote. In running text a straight
+    quote opens before a letter and after a blank or bracket, and closes behind anything but a blank (so feet and inches
+    are none); elements of markup are <name>."""
+    stack = _Stack()
+    skip, data = -1, text.lstrip()[:1] in ("{", "[") and _DATA.match(text) is not None
     for m in _SIGNS.finditer(text):
-        sign, top = m.group(), stack[-1] if stack else ""
+        sign, top = m.group(), stack.top
         if m.start() < skip:
             continue
         if top == "```":
             if sign == "```":
-                stack.pop()
-        elif top == '"':
+                stack.close(sign)
+        elif top == '"' and data:
             if sign == "\\":
                 skip = m.end() + 1
                 if m.end() >= len(text):
-                    stack.append("\\")
+                    stack.push("\\")
             elif sign == '"':
-                stack.pop()
+                stack.close(sign)
         elif sign == "```":
-            stack.append(sign)
+            stack.push(sign)
         elif sign == '"':
-            if whole:
-                stack.append(sign)
+            before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+            if data:
+                stack.push(sign)
+            elif (stack.held.get(sign) or stack.held.get("„")) and before.strip():
+                stack.close(sign if stack.held.get(sign) else "„")
+            elif (not before or not before.strip() or before in "([{—–-/") and (after.isalnum() or after == "" and m.start() > 0):
+                stack.push(sign)
         elif sign in "{[(":
-            stack.append(sign)
+            stack.push(sign)
         elif sign in _PAIRS:
-            if _PAIRS[sign] in stack:
-                while stack.pop() != _PAIRS[sign]:
-                    pass
-        elif sign[0] == "<" and not sign.endswith(">") and m.end() >= len(text.rstrip()):
-            stack.append("<")
-    return stack
+            stack.close(_PAIRS[sign])
+        elif sign[0] == "<":
+            name = re.match(r"</?([A-Za-z][\w-]*)", sign).group(1).lower()
+            if not sign.endswith(">"):
+                if m.end() >= len(text.rstrip()):
+                    stack.push("<")
+            elif sign[1] == "/":
+                stack.close(f"<{name}>")
+            elif not sign.endswith("/>") and name not in _VOID:
+                stack.push(f"<{name}>")
+        elif opener := next((o for o in stack.signs[:-9:-1] if sign in _QUOTES.get(o, "")), None):
+            stack.close(opener)
+        elif sign in _QUOTES:
+            stack.push(sign)
+    return stack.signs
 
 
-def judge_end(text: str) -> str:
-    """'whole', 'soft' (no sign of an end), or the hard evidence: 'open', 'mark', 'broken', 'word'."""
+def judge_end(text: str) -> tuple[str, bool]:
+    """(end, open). end: 'whole', 'soft' (no sign of an end), or the hard evidence: 'open', 'mark', 'broken', 'word'.
+    open: whether the automaton ended with anything on its stack."""
     end = text.rstrip().rstrip("\u200b\ufeff")
     if not end:
-        return "whole"
-    if end[-1] == "\ufffd" or "\ud800" <= end[-1] <= "\udfff":
-        return "broken"
+        return "whole", False
     stack = open_structures(end)
-    json_like = end.lstrip()[:1] in ("{", "[") and re.match(r'\s*(?:\{\s*["}]|\[\s*[\[{"\]])', end) is not None
-    if json_like:
-        return "open" if stack else "whole"
+    if end[-1] == "\ufffd" or "\ud800" <= end[-1] <= "\udfff":
+        return "broken", bool(stack)
+    if end.lstrip()[:1] in ("{", "[") and _DATA.match(end):
+        return "open" if stack else "whole", bool(stack)
     if "```" in stack or "<" in stack:
-        return "open"
+        return "open", True
     last = end[-_LAST:]
     mark = _MARK.search(last)
     if mark:
-        return "whole" if last[: mark.start()].rstrip(" .").lower().endswith(_CONTINUED) else "mark"
+        return "whole" if last[: mark.start()].rstrip(" .").lower().endswith(_CONTINUED) else "mark", bool(stack)
     if _STEM.search(last):
-        return "word"
-    if _complete(end) or _closing_line(end):
-        return "whole"
-    return "soft"
+        return "word", bool(stack)
+    return "whole" if _complete(end) or _closing_line(end) else "soft", bool(stack)
 
 
 def _bare(end: str) -> str:
@@ -152,20 +193,44 @@ def source_name(source: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(source, r"^[\s\u00a0]+|[\s\u00a0]+$", "")), r"[-\s\u00a0]+", "_")
 
 
+def decoded(raw: bytes) -> tuple[str, bool]:
+    """(text, broken): bytes as text, whatever they hold; broken tells that they end inside a multibyte sequence."""
+    try:
+        return raw.decode("utf-8"), False
+    except UnicodeDecodeError:
+        back = 1
+        while back < min(4, len(raw)) and 0x80 <= raw[-back] < 0xC0:
+            back += 1
+        lead = raw[-back]
+        return raw.decode("utf-8", "replace"), lead >= 0xC0 and back < (2 if lead < 0xE0 else 3 if lead < 0xF0 else 4)
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ends = [judge_end(t) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("id"), b.column("source"), pa.array(ends, pa.string())], ["id", "source", "end"])
+        ends, left = [], []
+        for raw in b.column("text").to_pylist():
+            text, broken = decoded(raw)
+            end, open_ = judge_end(text)
+            ends.append("broken" if broken else end)
+            left.append(open_)
+        yield pa.RecordBatch.from_arrays(
+            [b.column("id"), b.column("source"), pa.array(ends, pa.string()), pa.array(left, pa.bool_())], ["id", "source", "end", "open"]
+        )
 
 
 def truncated(
-    df: DataFrame, id_col: str, text_col: str, source_col: str, usual: float = 0.5
+    df: DataFrame, id_col: str, text_col: str, source_col: str, usual: float = 0.5, rare: float = 0.1
 ) -> DataFrame:
-    """(id, source, end, cut) for every record with a text that is not blank; cut tells whether it was truncated.
+    """(id, source, end, cut) for every record with a text that is not blank; cut tells whether it was truncated, end by
+    what evidence.
 
     A text without any sign of an end ('soft') is cut unless the texts of its source lack one in a share of ``usual``
-    or more. Null, empty and blank texts are left out; sources in several writings are one, a null source is one too;
-    repeated rows count once; whole texts are read however long; an empty table gives an empty result; extra columns
+    or more. If the automaton leaves a structure open in it, its end is 'open', and it is cut unless it leaves one open
+    in a share of ``rare`` or more of the source's whole texts.
+
+    Null, empty and blank texts are left out; bytes that are no UTF-8 are read as far as they are, and a text that ends
+    inside a multibyte sequence is cut; sources in several writings are one, a null source is one too; repeated rows
+    count once; whole texts are read however long, in linear time; an empty table gives an empty result; extra columns
     are ignored. Only counts per source are shuffled.
     """
     scratch = Scratch(df.sparkSession)
@@ -173,12 +238,17 @@ def truncated(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), source_name(F.col(source_col)).alias("source")
     ).where(F.col("text").isNotNull() & F.col("text").rlike(r"[^\s\u00a0\u200b\ufeff]"))
     kind = dict(rows.dtypes)["id"]
-    ends = scratch.keep(rows.mapInArrow(_ends, f"id {kind}, source string, end string"))
-    base = ends.groupBy("source").agg((F.avg((F.col("end") == "soft").cast("double")) < usual).alias("ends_usual"))
-    known = F.coalesce("ends_usual", F.lit(True))
+    rows = rows.withColumn("text", F.col("text").cast("binary"))  # strings may hold bytes that Python refuses
+    ends = scratch.keep(rows.mapInArrow(_ends, f"id {kind}, source string, end string, open boolean"))
+    end, soft = F.col("end"), F.col("end") == "soft"
+    base = ends.groupBy("source").agg(
+        (F.avg(soft.cast("double")) < usual).alias("ends_usual"),
+        (F.coalesce(F.avg(F.when(end == "whole", F.col("open").cast("double"))), F.lit(0.0)) < rare).alias("open_rare"),
+    )  # one row a source
     joined = ends.join(base.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left")
-    cut = ~F.col("end").isin("whole", "soft") | ((F.col("end") == "soft") & known)
-    return joined.select("id", "source", "end", cut.alias("cut")).distinct()
+    left_open = soft & F.col("open") & F.col("open_rare")
+    cut = ~end.isin("whole", "soft") | left_open | (soft & F.col("ends_usual"))
+    return joined.select("id", "source", F.when(left_open, "open").otherwise(end).alias("end"), cut.alias("cut")).distinct()
 
 
 def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
