@@ -2,11 +2,12 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from gleanery.llm import leaks, neardup, truncation
+from gleanery.llm import leaks, mixing, neardup, truncation
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -187,15 +188,15 @@ CUT = [
 
 
 def test_ends():
-    assert [t for t in WHOLE if truncation.judge_end(t) != "whole"] == []
-    assert [t for t in CUT if truncation.judge_end(t) == "whole"] == []
+    assert [t for t in WHOLE if truncation.judge_end(t)[0] != "whole"] == []
+    assert [t for t in CUT if truncation.judge_end(t)[0] == "whole"] == []
 
 
 def test_ends_of_very_long_texts():
     for body in ("a. " * 300_000, "#tag " * 200_000, "." * 300_000 + " x. ", "(" * 200_000 + ". ", "- a\n" * 100_000):
-        assert truncation.judge_end(body + "Then it ended.") == "whole"
-        assert truncation.judge_end(body + "\n\nThen it was cut in the mid") == "soft"
-    assert truncation.judge_end("It was good." + " #sun" * 50_000) == "whole"
+        assert truncation.judge_end(body + "Then it ended.")[0] == "whole"
+        assert truncation.judge_end(body + "\n\nThen it was cut in the mid")[0] == "soft"
+    assert truncation.judge_end("It was good." + " #sun" * 50_000)[0] == "whole"
 
 
 def test_stack_automaton():
@@ -204,6 +205,35 @@ def test_stack_automaton():
     assert truncation.open_structures('{"a": "b\\"c') == ["{", '"']
     assert truncation.open_structures('{"a": "}"}') == []
     assert truncation.open_structures("1) one 2) two") == []
+    assert truncation.open_structures('She said "we') == ['"'] and truncation.open_structures('She said "we go," and left') == []
+    assert truncation.open_structures('a 5" pipe and 6\' 2" tall') == [] and truncation.open_structures("(she said (\"no") == ["(", "(", '"']
+    assert truncation.open_structures("Er sagte „ja") == ["„"] and truncation.open_structures("Er sagte „ja“ und “yes” «oui» »ja«") == []
+    assert truncation.open_structures("<p>text <b>bold") == ["<p>", "<b>"] and truncation.open_structures("<p>a<br>b<img src='x'/></p>") == []
+    assert truncation.open_structures("<ul><li>a<li>b</ul> x < y") == [] and truncation.open_structures("<p>x</b>") == ["<p>"]
+
+
+def test_the_automaton_is_linear():
+    began = time.perf_counter()
+    for n in (200_000,):
+        assert truncation.open_structures("(" * n + ")" * n) == [] and len(truncation.open_structures("[" * n + ")" * n)) == n
+        assert len(truncation.open_structures("(" + "[" * n + "}" * n)) == n + 1
+    assert time.perf_counter() - began < 20
+
+
+def test_open_structures_count_against_their_source(spark):
+    """A source that rarely ends in a terminator: what is open decides, unless whole texts leave it open as well."""
+    rows = [(i, f"no end {i}", "captions") for i in range(20)] + [(30, "the (left", "captions"), (31, 'he said "go', "captions"), (32, "<p>a <b>c", "captions"), (33, "All in.", "captions")]
+    rows += [(100 + i, f"smile :( {i}.", "chat") for i in range(10)] + [(200 + i, f"sad :( {i}", "chat") for i in range(12)]
+    got = {r["id"]: (r["end"], r["cut"]) for r in truncation.truncated(spark.createDataFrame(rows, "d long, t string, s string"), "d", "t", "s").collect()}
+    assert {i for i, (_, cut) in got.items() if cut} == {30, 31, 32} and got[30][0] == got[32][0] == "open" and got[200] == ("soft", False)
+
+
+def test_bytes_that_are_no_text(spark):
+    raw = [(1, b"Das Bild ist h\xc3"), (2, b"Price 5 \xe2\x82"), (3, b"bad \xff byte, whole sentence."), (4, b"\xff then \xf0\x9f\x98"), (5, "Schön.".encode()), (6, b"caf\xe9.")]
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in raw], "d long, b binary").selectExpr("d", "cast(b as string) t", "'s' s")
+    got = {r["id"]: (r["end"], r["cut"]) for r in truncation.truncated(df, "d", "t", "s").collect()}
+    assert {i for i, (_, cut) in got.items() if cut} == {1, 2, 4} and got[1][0] == got[2][0] == got[4][0] == "broken"
+    assert all(r["tokens"] > 0 for r in mixing.count_tokens(df, "t").collect())
 
 
 def test_truncated(spark):
