@@ -1,5 +1,7 @@
 """Problems 1, 2 and 6 against brute force, and their edge cases."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -114,6 +116,34 @@ def test_clusters_over_cells_and_blocks(table):
     assert sum(got.get(i) == c for i, c in want.items()) >= 0.98 * len(want)
 
 
+def test_exact_clusters_over_many_cells(spark):
+    """A group that is spread around the limit lies in many cells; exact finds every link, over cells and blocks."""
+    rng = np.random.default_rng(7)
+    m = [rng.standard_normal(64)]
+    for _ in range(600):  # a walk whose steps are just near enough
+        x = m[-1] / np.linalg.norm(m[-1])
+        step = rng.standard_normal(64)
+        step -= (step @ x) * x
+        c = 0.852 + 0.05 * rng.random() ** 3
+        m.append(c * x + math.sqrt(1 - c * c) * step / np.linalg.norm(step))
+    m = np.array(m, np.float32)
+    df = spark.createDataFrame(_rows(m), SHAPE)
+    _, comp = _brute(list(range(1, len(m) + 1)), m, 1, 0.85)
+    for tuning in (dict(cell_rows=20), dict(cell_rows=100, block_rows=40)):
+        members, _ = clusters.clusters(df, "feature_id", "embedding", 64, 0.85, least=1, exact=True, **tuning)
+        assert {r["id"]: r["cluster"] for r in members.collect()} == comp
+
+
+def test_core_rows_need_not_ask():
+    rng = np.random.default_rng(8)
+    head = rng.standard_normal(64)
+    m = np.concatenate([head / np.linalg.norm(head) + s * rng.standard_normal((n, 64)) for s, n in ((0.01, 60), (0.06, 60))] + [rng.standard_normal((30, 64))])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    core = u @ (head / np.linalg.norm(head)) >= math.sqrt((1 + 0.85) / 2) + 1e-7
+    assert core.sum() >= 60
+    assert (clusters.local_components(u, 0.85, core=core) == clusters.local_components(u, 0.85)).all()
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SHAPE)
     assert neighbours.nearest(df, "feature_id", "embedding", 64).count() == 0
