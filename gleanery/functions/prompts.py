@@ -62,6 +62,13 @@ def head(profile: dict, kind: str, members: int | None = None) -> str:
     return "\n\n".join([task, *sections(profile), form])
 
 
+def group_prompt(profile: dict, kind: str, members: Column, lines: Column) -> Column:
+    """One prompt per chunk of a group; ``members`` is its size, ``lines`` its members, one after another."""
+    before, between, after = head(profile, kind, -1).split("-1")
+    n = members.cast("string")
+    return F.concat(F.lit(before), n, F.lit(between), n, F.lit(after), F.lit("\n\n"), lines)
+
+
 def item_prompt(profile: dict, kind: str, name: Column, text: Column | None = None) -> Column:
     """One prompt per row; the text is cut at SINGLE_CHARS and marked."""
     parts = [F.lit(head(profile, kind)), F.concat(F.lit("Item: "), name)]

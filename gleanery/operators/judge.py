@@ -6,6 +6,7 @@ A judge must be idempotent, since Spark may run a task again. The default judge
 from __future__ import annotations
 
 import hashlib
+import re
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -27,14 +28,22 @@ class Judge(Protocol):
 
 @dataclass(frozen=True)
 class SteadyJudge:
-    """Judges by a hash of the prompt: the same prompt always gets the same judgement."""
+    """Judges by a hash of the prompt: the same prompt always gets the same judgement. A prompt that asks for a list of n
+    objects gets n judgements, by hashes of the prompt and the number, with ranks from 1."""
 
     name: str = "steady"
     categories: tuple[str, ...] = ("Share", "Storage", "Review", "Ignore")
 
     def reply(self, prompt: str) -> str:
-        h = hashlib.sha256(prompt.encode()).digest()
-        return f'{{"classification": "{self.categories[h[0] % len(self.categories)]}", "score": {h[1] % 5 + 1}, "reasoning": "hash {h[2]}"}}'
+        asked = re.search(r"\blist of (\d+) objects\b", prompt)
+        if asked is None:
+            return self._one(prompt)
+        return "[" + ", ".join(self._one(f"{prompt}#{k}", k) for k in range(1, int(asked.group(1)) + 1)) + "]"
+
+    def _one(self, text: str, rank: int | None = None) -> str:
+        h = hashlib.sha256(text.encode()).digest()
+        place = "" if rank is None else f', "rank": {rank}'
+        return f'{{"classification": "{self.categories[h[0] % len(self.categories)]}", "score": {h[1] % 5 + 1}{place}, "reasoning": "hash {h[2]}"}}'
 
 
 @dataclass(frozen=True)
@@ -84,12 +93,13 @@ def judged(df: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Re
     return df.select(key, prompt).mapInPandas(run, shape)
 
 
-def group_prompts(df: DataFrame, group: str, position: str, line: str, chunk: int = 10) -> DataFrame:
+def group_prompts(df: DataFrame, group: str | list[str], position: str, line: str, chunk: int = 10) -> DataFrame:
     """(group, chunk, prompt, members): one prompt per chunk of a group, its lines in the order of position. A chunk is
     bounded, so groups of any size are fine."""
     part = F.floor(F.col(position) / chunk).cast("int").alias("chunk")
     lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(line).alias("l")))), lambda x: x["l"])
-    return df.groupBy(group, part).agg(F.array_join(lines, "\n").alias("prompt"), F.count(F.lit(1)).alias("members"))
+    by = [group] if isinstance(group, str) else group
+    return df.groupBy(*by, part).agg(F.array_join(lines, "\n").alias("prompt"), F.count(F.lit(1)).alias("members"))
 
 
 def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Judge, retry: Retry = Retry(), workers: int = 10) -> DataFrame:
@@ -103,11 +113,12 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Ju
     return hits.unionByName(judged(misses, key, prompt, judge, retry, workers).withColumn("cached", F.lit(False)))
 
 
-def spread(groups: DataFrame, replies: DataFrame, group: str, position: str, listed: str, out: str = "judgement") -> DataFrame:
+def spread(groups: DataFrame, replies: DataFrame, group: str | list[str], position: str, listed: str, out: str = "judgement") -> DataFrame:
     """Members joined with their judgement by position: replies holds one array per group (and chunk). Members beyond
     the array get null."""
-    flat = replies.select(group, F.posexplode(listed).alias(position, out))
-    return groups.join(flat, [group, position], "left")
+    by = [group] if isinstance(group, str) else group
+    flat = replies.select(*by, F.posexplode(listed).alias(position, out))
+    return groups.join(flat, [*by, position], "left")
 
 
 def bundle_prompts(files: DataFrame, bundle: str, path: str, line: str, most: int = 10_000) -> DataFrame:

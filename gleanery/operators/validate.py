@@ -83,6 +83,27 @@ def judgement(
     return out.withColumn("error_type", F.when(F.col("__bad"), "invalid_response").otherwise(kind)).drop("__bad")
 
 
+_REPLY = "classification string, score string, rank string, reasoning string, contains_children boolean, is_appropriate boolean, content_summary string, audio_quality string"
+
+
+def reply_object(text: Column) -> Column:
+    """The judgement of a reply for one item as a struct of strings and flags; null where ``lenient_json`` finds none."""
+    j = lenient_json(text)
+    field = lambda name, kind: F.try_variant_get(j, f"$.{name}", kind).alias(name)
+    fields = [field(*part.split()) for part in _REPLY.split(", ")]
+    return F.when(j.isNotNull(), F.struct(*fields))
+
+
+def reply_list(text: Column) -> Column:
+    """The judgements of a reply for a group, in order: the whole text, else what is between its first [ and last ]; null
+    where neither is a list of objects. Code fences are stripped."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*", ""), r"(?s)\s*```\s*$", "")
+    widest = F.regexp_extract(bare, r"(?s)(\[.*\])", 1)
+    shape = f"array<struct<{_REPLY.replace(' string', ':string').replace(' boolean', ':boolean')}>>"
+    read = lambda t: F.when(t.startswith("[") & F.try_parse_json(t).isNotNull(), F.from_json(t, shape))
+    return F.coalesce(read(bare), read(widest))
+
+
 def response_shape(replies: Column, group_size: Column) -> Column:
     """Whether a group's reply holds one judgement per member."""
     return F.coalesce(F.size(replies) == group_size, F.lit(False))

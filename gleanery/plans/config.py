@@ -20,6 +20,9 @@ class Routing:
     too_similar: float = 0.95
     retries: int = 2
     retry_delay: float = 2.0
+    ranked_bursts: bool = False
+    classify_videos: bool = True
+    workers: int = 10
 
     def __post_init__(self):
         _within("share_threshold", self.share_threshold, 1, 5)
@@ -29,6 +32,8 @@ class Routing:
         _within("too_similar", self.too_similar, 0, 1)
         if self.retries < 0:
             raise ValueError("retries must not be negative")
+        if self.workers < 1:
+            raise ValueError("workers must be 1 or more")
 
 
 @dataclass(frozen=True)
@@ -61,6 +66,7 @@ class Documents:
     grouping: bool = True
     similarity: float = 0.85
     kept_chars: int = 50_000
+    dim: int = 64
 
     def __post_init__(self):
         _within("similarity", self.similarity, 0, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import embed, office
 from gleanery.operators import judge, labels
-from gleanery.plans.config import Bursts, Config
+from gleanery.plans.config import Config
 from gleanery.plans.pipeline import Pipeline
 from gleanery.sources import sinks
 
@@ -77,39 +77,108 @@ def test_sinks(spark, tmp_path):
 
 
 def _odd():
+    import re
+
     class Odd:  # local, so that it travels to the workers
         name = "odd"
 
         def reply(self, prompt):
+            n = re.search(r"list of (\d+) objects", prompt)
             if "bad" in prompt:
                 raise OSError("down")
             if "prose" in prompt:
                 return "no idea"
+            if "short" in prompt:
+                return '[{"classification": "Share", "score": 5}]'
+            if n:
+                rows = ", ".join(f'{{"classification": "Share", "score": {4 if k % 2 else 5}, "rank": {int(n[1]) - k}}}' for k in range(int(n[1])))
+                return f"Here: [{rows}]"
             return 'Sure: {"classification": "Share", "score": 9}'
 
     return Odd()
 
 
+SHAPE = "item_id long, path string, media_type string, folder string, at timestamp"
+
+
 def _items(spark):
     t = datetime(2024, 1, 1)
     rows = [(1, "/a/1.jpg", "image", "/a", t), (2, "/a/2.jpg", "image", "/a", t + timedelta(seconds=5)), (3, "/a/bad.jpg", "image", "/a", None), (4, "/b/prose.jpg", "image", "/b", t)]
-    return spark.createDataFrame(rows, "item_id long, path string, media_type string, folder string, at timestamp")
+    rows += [(5, "/c/v.mp4", "video", "/c", t), (6, "/c/n.txt", "document", "/c", None), (7, "/c/x.bin", None, "/c", t)]
+    return spark.createDataFrame(rows, SHAPE)
 
 
 def test_pipeline(spark):
     quick = judge.Retry(attempts=1)
     run = Pipeline(judge=_odd(), retry=quick)
     got = {r["item_id"]: r for r in run.run(_items(spark)).collect()}
-    assert [got[i]["group_size"] for i in (1, 2, 3, 4)] == [2, 2, 1, 1] and got[2]["group_id"] == 1
-    assert (got[1]["classification"], got[1]["score"], got[1]["destination"]) == ("Share", 5, "Share")
-    assert (got[3]["error_type"], got[3]["classification"], got[3]["score"], got[3]["destination"]) == ("api_error", "Review", 2, "Review")
-    assert got[4]["error_type"] == "invalid_response" and got[4]["is_error_fallback"]
+    assert set(got) == {1, 2, 3, 4, 5, 6} and [got[i]["group_size"] for i in (1, 2, 3, 4)] == [2, 2, 1, 1] and got[2]["group_id"] == 1
+    assert [(got[i]["score"], got[i]["rank"], got[i]["destination"]) for i in (1, 2)] == [(5, 2, "Share"), (4, 1, "Share")]
+    assert (got[3]["error_type"], got[3]["classification"], got[3]["score"], got[3]["destination"], got[3]["rank"]) == ("api_error", "Review", 2, "Review", None)
+    assert got[4]["error_type"] == "invalid_response" and got[4]["is_error_fallback"] and got[4]["reasoning"].startswith("Fallback response:")
+    assert (got[5]["score"], got[5]["audio_quality"], got[5]["content_summary"], got[6]["content_summary"], got[6]["audio_quality"]) == (5, "unknown", None, "", None)
     counts, top = run.report(run.run(_items(spark)))
-    assert "Share: 2 (50.0%)" in sinks.summary(counts, top, 2, 1.0)
-    cached = run.run(_items(spark), spark.createDataFrame([(3, '{"classification": "Storage", "score": 1}')], "key long, reply string"))
-    assert {r["item_id"]: r["destination"] for r in cached.collect()}[3] == "Storage"
-    off = Pipeline(judge=_odd(), retry=quick, config=Config(bursts=Bursts(enabled=False)))
-    assert {r["group_size"] for r in off.run(_items(spark)).collect()} == {1}
+    assert "Share: 4 (66.7%)" in sinks.summary(counts, top, 2, 1.0)
+    singles, _ = run.prompts(run.group(_items(spark)))
+    key = {r["item_id"]: r["key"] for r in singles.collect()}
+    cached = run.run(_items(spark), spark.createDataFrame([(key[3], '{"classification": "Storage", "score": 1}')], "key string, reply string"))
+    assert {r["item_id"]: (r["destination"], r["cached"]) for r in cached.collect()}[3] == ("Storage", True)
+    off = Pipeline(judge=_odd(), retry=quick, config=Config.of({"bursts": {"enabled": False}, "routing": {"classify_videos": False}}))
+    rest = {r["item_id"]: r for r in off.run(_items(spark)).collect()}
+    assert {r["group_size"] for r in rest.values()} == {1}
+    assert (rest[5]["destination"], rest[5]["is_error_fallback"], rest[5]["error_type"]) == ("Videos", False, None) and rest[1]["destination"] == "Share"
+
+
+def test_groups_are_judged_in_chunks(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(i, f"/a/{i}.jpg", "image", "/a", t + timedelta(seconds=i)) for i in range(23)] + [(50 + i, f"/s/short{i}.jpg", "image", "/s", t) for i in range(2)]
+    got = {r["item_id"]: r for r in Pipeline(judge=_odd(), retry=judge.Retry(attempts=1)).run(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert [got[i]["rank"] for i in range(23)] == [*range(10, 0, -1), *range(20, 10, -1), 23, 22, 21]
+    assert all(got[i]["is_error_fallback"] and got[i]["error_type"] == "invalid_response" for i in (50, 51))  # one answer for two
+    config = Config.of({"routing": {"ranked_bursts": True}})
+    ranked = {r["item_id"]: r["destination"] for r in Pipeline(judge=_odd(), retry=judge.Retry(attempts=1), config=config).run(spark.createDataFrame(rows, SHAPE)).collect()}
+    assert [i for i in range(23) if ranked[i] == "Share"] == [8, 9] and ranked[0] == "Review"
+
+
+def test_documents_are_judged_with_their_like(spark):
+    rows = [(1, "/d/a.txt", "document", "/d", None, "ta", [1.0, 0.0]), (2, "/d/b.txt", "document", "/d", None, "tb", [0.99, 0.05]), (3, "/d/c.txt", "document", "/d", None, "tc", [0.0, 1.0]), (4, "/d/e.txt", "document", "/d", None, None, None)]
+    df = spark.createDataFrame(rows, SHAPE + ", text string, embedding array<double>")
+    run = Pipeline(judge=judge.SteadyJudge(), config=Config.of({"documents": {"dim": 2}}))
+    got = {r["item_id"]: r for r in run.run(df).collect()}
+    assert {i: (r["group_id"], r["group_index"], r["group_size"]) for i, r in got.items()} == {1: (1, 0, 2), 2: (1, 1, 2), 3: (3, 0, 1), 4: (4, 0, 1)}
+    assert (got[1]["rank"], got[2]["rank"], got[3]["rank"]) == (1, 2, None) and not any(r["is_error_fallback"] for r in got.values())
+    limits = {"Share": 4, "Review": 3}
+    assert all(r["destination"] == ("Review" if r["score"] < limits.get(r["classification"], 0) else r["classification"]) for r in got.values())
+    _, chunks = run.prompts(run.group(df))
+    prompt = chunks.first()["prompt"]
+    assert "list of 2 objects" in prompt and prompt.endswith("1. /d/a.txt\nta\n2. /d/b.txt\ntb")
+
+
+def test_bundles_are_judged_whole(spark):
+    files = spark.createDataFrame([("x", "/x/1"), ("x", "/x/2"), ("bad", "/bad/1")], "bundle string, path string")
+    got = {r["bundle"]: r for r in Pipeline(judge=_odd(), retry=judge.Retry(attempts=1)).bundles(files).collect()}
+    assert (got["x"]["files"], got["x"]["score"], got["x"]["destination"]) == (2, 5, "Share")
+    assert (got["bad"]["is_error_fallback"], got["bad"]["error_type"], got["bad"]["destination"]) == (True, "api_error", "Review")
+
+
+def test_replies_are_asked_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Counting:
+        name = "counting"
+
+        def reply(self, prompt):
+            import uuid
+
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+                f.write(prompt)
+            return '{"classification": "Share", "score": 4}'
+
+    run = Pipeline(judge=Counting())
+    results = run.run(_items(spark).where("item_id in (3, 4, 5)"))
+    counts, top = run.report(results)
+    assert counts.count() == 1 and top.count() == 3 and results.count() == 3
+    assert len(list(tmp_path.iterdir())) == 3
 
 
 def test_feedback(spark):

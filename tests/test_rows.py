@@ -219,6 +219,10 @@ def test_judging(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, prompt string")
     got = {r["k"]: r for r in judge.judged(df, "k", "prompt", judge.SteadyJudge()).collect()}
     assert got[1]["reply"] == judge.SteadyJudge().reply("a") and got[3]["error_type"] == "load_error"
+    many = spark.createDataFrame([(i, f"p{i}") for i in range(50)], "k int, prompt string")
+    want = {i: judge.SteadyJudge().reply(f"p{i}") for i in range(50)}
+    for workers in (1, 10):
+        assert {r["k"]: r["reply"] for r in judge.judged(many, "k", "prompt", judge.SteadyJudge(), workers=workers).collect()} == want
     cache = spark.createDataFrame([(1, "kept")], "k int, reply string")
     again = {r["k"]: (r["reply"], r["cached"]) for r in judge.with_cache(df, cache, "k", "prompt", judge.SteadyJudge()).collect()}
     assert again[1] == ("kept", True) and again[2] == (got[2]["reply"], False) and len(again) == 3
