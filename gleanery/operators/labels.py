@@ -97,7 +97,50 @@ def burst_candidates(bursts: DataFrame, labelled: DataFrame, least: int = 2) ->
 
 def representatives(bursts: DataFrame) -> DataFrame:
     """One item per burst, by hash, for comparisons between bursts."""
-    return bursts.groupBy("session_id", "burst_no").agg(F.min_by("item", F.struct(F.xxhash64("item").alias("h"), F.col("item").alias("i"))).alias("item"))
+    return bursts.groupBy("session_id", "burst_no").agg(F.min_by("item", F.struct(F.md5("item").alias("h"), F.col("item").alias("i"))).alias("item"))
+
+
+def _top_share(rows: DataFrame, least: int, part: int, order: list[Column]) -> DataFrame:
+    """Of each session the first max(least, n // part) rows in ``order``; a session has as many rows as bursts."""
+    n = F.count(F.lit(1)).over(Window.partitionBy("session_id"))
+    placed = rows.withColumn("__n", n).withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order)))
+    return placed.where(F.col("place") <= F.greatest(F.lit(least), F.floor(F.col("__n") / part))).drop("__n")
+
+
+def pair_sources(candidates: DataFrame) -> DataFrame:
+    """The bursts from which the two items of the next comparison within a burst are drawn: of each session the first
+    max(3, n // 3) of ``burst_candidates`` by unlabelled items, ties by burst_no."""
+    return _top_share(candidates, 3, 3, [F.desc("unlabelled"), F.asc("burst_no")])
+
+
+def gallery_sources(bursts: DataFrame, labelled: DataFrame, large: int = 5, unlabelled: int = 3) -> DataFrame:
+    """The bursts that may be shown as a gallery: ``large`` items or more, ``unlabelled`` of them without a label; of each
+    session the first max(2, n // 2) by unlabelled items, ties by burst_no. bursts, labelled: as in burst_candidates."""
+    sizes = bursts.distinct().groupBy("session_id", "burst_no").agg(F.count(F.lit(1)).alias("items"))
+    rows = burst_candidates(bursts, labelled, unlabelled).join(sizes.where(F.col("items") >= large), ["session_id", "burst_no"])
+    return _top_share(rows, 2, 2, [F.desc("unlabelled"), F.asc("burst_no")])
+
+
+def gallery_items(sources: DataFrame, placed: DataFrame, shown: int = 20) -> DataFrame:
+    """(session_id, burst_no, position, item): the first ``shown`` items of each gallery. placed: session_id, burst_no,
+    position (from 0), item."""
+    return placed.where(F.col("position") < shown).join(sources.select("session_id", "burst_no"), ["session_id", "burst_no"])
+
+
+def recorded(choices: DataFrame, kind: str) -> DataFrame:
+    """Answers of a training session as rows to append: 2.0 for a comparison within a burst, 1.0 between bursts, 1.5 for
+    a gallery."""
+    weight = F.when(F.col(kind) == "within_burst", 2.0).when(F.col(kind) == "gallery", 1.5).otherwise(1.0)
+    return choices.withColumn("weight", weight)
+
+
+def samples(examples: DataFrame, side: str, position: Column, present: DataFrame, item: str, most: int = 50) -> DataFrame:
+    """The first ``most`` examples of each side, in the order of ``position``, whose item is still there."""
+    there = examples.join(present.select(item).distinct(), item, "left_semi")
+    salted = Window.partitionBy(side, F.pmod(F.xxhash64(item), F.lit(64))).orderBy(position, item)
+    first = there.withColumn("__r", F.row_number().over(salted)).where(F.col("__r") <= most)
+    final = Window.partitionBy(side).orderBy(position, item)
+    return first.withColumn("place", F.row_number().over(final)).where(F.col("place") <= most).drop("__r")
 
 
 def moves(report: DataFrame, actual: DataFrame, name: str, was: str, now: str) -> DataFrame:

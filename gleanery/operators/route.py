@@ -25,10 +25,18 @@ def single(category: Column, score: Column, children: Column, appropriate: Colum
 
 def by_threshold(category: Column, score: Column, thresholds: dict[str, int], valid: list[str], default: str) -> Column:
     """Destination by a profile: unknown categories and scores below the category's threshold go to the default."""
-    out = F.when(~F.coalesce(category.isin(*valid), F.lit(False)), F.lit(default))
-    for name, least in thresholds.items():
-        out = out.when((category == name) & (F.coalesce(score, F.lit(2)) < least), F.lit(default))
-    return out.otherwise(category)
+    limits = F.create_map(*[F.lit(x) for pair in thresholds.items() for x in pair]) if thresholds else F.expr("cast(map() as map<string,int>)")
+    return by_profile(category, score, limits, F.array(*map(F.lit, valid)), F.lit(default))
+
+
+def by_profile(category: Column, score: Column, thresholds: Column, valid: Column, default: Column) -> Column:
+    """``by_threshold`` with the profile in columns: a map of thresholds (a category without one, or with null, takes any
+    score), an array of categories, the default. A missing score is 2."""
+    category = category.cast("string")
+    known = F.coalesce(F.array_contains(valid, category), F.lit(False))
+    least = F.try_element_at(thresholds, category)
+    low = F.coalesce(F.coalesce(score, F.lit(2)) < least, F.lit(False))
+    return F.when(~known | low, default).otherwise(category)
 
 
 def burst(
@@ -40,7 +48,7 @@ def burst(
     are reviewed from ``review`` on, else stored. Missing ranks are the index + 1.
 
     Only members that could be shared compete: they are few per burst (``consider``, unless ranks repeat), and the
-    selection is one fold over them in the JVM. Without ``vec``, or where a vector is missing, all are different."""
+    selection is one fold over them in the JVM. Without ``vec``, or where a vector is missing or holds a NaN, all are different."""
     c, s = F.coalesce(category, F.lit("Review")), F.coalesce(score, F.lit(2))
     guard = _guards(c, F.col(children), F.col(appropriate))
     high = guard.isNull() & (F.coalesce(F.col(rank), F.col(index) + 1) <= consider) & (s >= share)
@@ -51,7 +59,7 @@ def burst(
     rivals = base.where("__high").groupBy(burst).agg(
         F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), F.col(vec).alias("v")))).alias("all")
     )
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x)
+    dot = lambda a, b: F.nanvl(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, x: t + x), F.lit(-1.0))
     taken = F.aggregate(
         "all", F.slice("all", 1, 0),
         lambda acc, x: F.when(F.exists(acc, lambda y: F.coalesce(dot(x["v"], y["v"]) >= too_similar, F.lit(False))), acc)

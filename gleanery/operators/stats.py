@@ -54,6 +54,14 @@ def evict(files: DataFrame, size: str, age: str, key: str, limit: int, keep: flo
     return rows.withColumn("evicted", F.lit(total) - before > limit * keep).drop("__sum")
 
 
+def cleanup(files: DataFrame, size: str, age: str, key: str, expired: Column, limit: int, keep: float = 0.9) -> DataFrame:
+    """``files`` with ``fate``: expired first, then what ``evict`` takes of the rest, else kept."""
+    late = F.coalesce(expired, F.lit(True))
+    rest = evict(files.where(~late), size, age, key, limit, keep)
+    rest = rest.withColumn("fate", F.when(F.col("evicted"), "evicted").otherwise("kept")).drop("evicted")
+    return rest.unionByName(files.where(late).withColumn("fate", F.lit("expired")))
+
+
 def sizes(files: DataFrame, store: str, size: str) -> DataFrame:
     """Bytes per store and, with a null store, of all."""
     return files.rollup(store).agg(F.sum(size).cast("long").alias("bytes"), F.count(F.lit(1)).alias("entries"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import html, media, prompts
-from gleanery.operators import grouping, judge, labels, recover, route, stats, validate
+from gleanery.operators import grouping, labels, recover, route, stats, validate
 from gleanery.sources import inventory
 from gleanery.streaming import bursts as streaming
 
@@ -153,12 +153,6 @@ def _document_sessions(spark, sf_dir) -> DataFrame:
     return grouping.sessions(docs, ["folder"], "at", "item_id", 30 * 86_400)
 
 
-@query()
-def burst_clusters(spark, sf_dir):
-    """Greedy similarity clusters within the temporal groups of each folder's documents."""
-    return grouping.similar_bursts(_document_sessions(spark, sf_dir), "item_id", "embedding", "at", limit=0.92).withColumnRenamed("item", "item_id")
-
-
 @query(
     """select result_id, cast(floor(burst_index / 10) as int) as chunk,
   cast(coalesce(local_rank, burst_index % 10 + 1) + 10 * cast(floor(burst_index / 10) as int) as int) as global_rank
@@ -292,20 +286,6 @@ def route_burst(spark, sf_dir):
     ).select("result_id", "destination")
 
 
-@query()
-def route_burst_varied(spark, sf_dir):
-    """Bursts of documents by folder and week, where near copies of a shared one are not shared again."""
-    docs = _document_sessions(spark, sf_dir).where("group_size > 1")
-    score = (F.pmod(F.xxhash64("item_id"), F.lit(3)) + 3).cast("int")
-    rows = docs.select(
-        "item_id", "group_id", "group_index", F.lit("Share").alias("category"), score.alias("points"), F.lit(1).alias("rank"),
-        F.lit(True).alias("children"), F.lit(True).alias("fit"), F.when(media.cosine(F.col("embedding"), F.col("embedding")) > 0, media.normalised(F.col("embedding"))).alias("v"),
-    )
-    return route.burst(rows, "group_id", "group_index", "category", "points", "rank", "children", "fit", vec="v").select(
-        "item_id", "group_id", "points", "destination"
-    )
-
-
 @query(
     f"""{_JUDGED} select j.result_id, case when category = 'Share' and points < c.share_threshold then 'Review'
   when category = 'Storage' and points < c.review_threshold then 'Review' else category end as destination
@@ -315,8 +295,9 @@ def route_by_profile(spark, sf_dir):
     """Routing by the thresholds of the row's own profile."""
     configs = table(spark, sf_dir, "classification_configs").select("config_id", "share_threshold", "review_threshold")
     rows = judged(spark, sf_dir, "config_id").join(configs, "config_id")
-    low = F.when(F.col("category") == "Share", F.col("share_threshold")).when(F.col("category") == "Storage", F.col("review_threshold"))
-    place = F.when(F.coalesce(F.col("points") < low, F.lit(False)), "Review").otherwise(F.col("category"))
+    limits = F.create_map(F.lit("Share"), F.col("share_threshold"), F.lit("Storage"), F.col("review_threshold"))
+    valid = F.array(*map(F.lit, VALID))
+    place = route.by_profile(F.col("category"), F.col("points"), limits, valid, F.lit("Review"))
     return rows.select("result_id", place.alias("destination"))
 
 
@@ -397,21 +378,6 @@ def dimension_names(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", validate.dimension_name(long).alias("name"))
 
 
-@query()
-def judged_documents(spark, sf_dir):
-    """Documents judged by the deterministic judge behind the same interface as any other, in Arrow batches."""
-    profile = {"name": "plain", "categories": [{"name": n} for n in VALID], "thresholds": {"Share": 4, "Review": 3}}
-    docs = table(spark, sf_dir, "documents").select(
-        "doc_id", prompts.item_prompt(profile, "document", F.col("source"), F.col("text")).alias("prompt")
-    )
-    replies = judge.judged(docs, "doc_id", "prompt", judge.SteadyJudge())
-    j = validate.lenient_json(F.col("reply"))
-    return replies.select(
-        "doc_id", F.try_variant_get(j, "$.classification", "string").alias("category"), F.try_variant_get(j, "$.score", "int").alias("score"),
-        "error_type", "retry_count",
-    )
-
-
 # ------------------------------------------------------------------------------------------ labels
 
 _PAIRS = """latest_pairs as (
@@ -698,7 +664,7 @@ def stream_sessions(spark, sf_dir):
     return streaming.run_available(streaming.stream_sessions(stream, "user_id", "ts", "10 minutes"))
 
 
-# ------------------------------------------------------------------------------------------ feedback and the whole way
+# ------------------------------------------------------------------------------------------ feedback
 
 
 def _feedback(spark, sf_dir) -> DataFrame:
@@ -755,21 +721,3 @@ def correction_table(spark, sf_dir):
     """Corrections: moves take the place of what was known of every judged item."""
     known = judgements(spark, sf_dir, "item_id", "classification").groupBy("item_id").agg(F.min(F.trim("classification")).alias("category"))
     return labels.corrections(moved_items(spark, sf_dir), known.withColumn("confidence", F.lit(3)), "item_id", "was", "now")
-
-
-@query()
-def classify_collection(spark, sf_dir):
-    """The pipeline over all media items with the deterministic judge; they have no vectors, so groups are by time only."""
-    from gleanery.plans.pipeline import Pipeline
-
-    rows = timed(spark, sf_dir).join(items(spark, sf_dir).select("item_id", "path", "media_type"), "item_id")
-    return Pipeline().run(rows).select("item_id", "group_id", "group_index", "group_size", "classification", "score", "is_error_fallback", "destination")
-
-
-@query()
-def embedded_documents(spark, sf_dir):
-    """Documents with vectors of the default embedder; blank texts have none."""
-    from gleanery.functions import embed
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return embed.with_embedding(docs, "text", embed.HashedTrigrams()).select("doc_id", F.round(F.array_max("embedding"), 4).alias("largest"))

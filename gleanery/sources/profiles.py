@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from gleanery.operators.stats import latest
+from gleanery.sources.sinks import CSV
 
 PROFILE = """name string, description string, media_types array<string>,
   categories array<struct<name:string,description:string,color:string>>, default_category string,
@@ -23,10 +24,10 @@ REPORT = """source string, destination string, classification string, score int,
   key_topics string"""
 
 
-def _json(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """JSON files, one object or list each; unreadable ones and rows without ``key`` are left out; no file, no row."""
+def _json(spark: SparkSession, path: str, schema: str, key: str, lines: bool = False) -> DataFrame:
+    """JSON files, one object or list each, or with ``lines`` one object a line, as Spark writes tables; unreadable ones and rows without ``key`` are left out; no file, no row."""
     try:
-        rows = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+        rows = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
         return rows.where(F.col(key).isNotNull())
     except AnalysisException as error:
         if "PATH_NOT_FOUND" not in str(error):
@@ -38,17 +39,34 @@ def profiles(spark: SparkSession, path: str) -> DataFrame:
     return _json(spark, path, PROFILE, "name")
 
 
-def sessions(spark: SparkSession, path: str) -> DataFrame:
-    rows = _json(spark, path, SESSION, "session_id")
+def sessions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    rows = _json(spark, path, SESSION, "session_id", lines)
     return rows.withColumn("total_files", F.coalesce("total_files", "total_photos")).drop("total_photos")
 
 
-def feedback(spark: SparkSession, path: str) -> DataFrame:
-    return _json(spark, path, FEEDBACK, "file_path")
+def latest_sessions(saves: DataFrame) -> DataFrame:
+    """The last save of every session."""
+    return latest(saves, "session_id", "updated_at")
+
+
+def feedback(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return _json(spark, path, FEEDBACK, "file_path", lines)
+
+
+def listed(profiles: DataFrame) -> DataFrame:
+    """(name, categories, default_category, described): each profile with the names of its categories and a text on it
+    to be read."""
+    names = F.transform("categories", lambda c: c["name"])
+    limits = F.array_join(F.transform(F.array_sort(F.map_entries("thresholds")), lambda e: F.concat(e["key"], F.lit(" from "), e["value"].cast("string"))), ", ")
+    text = F.concat(
+        F.col("name"), F.lit(": "), F.array_join(names, ", "), F.lit("; else "), F.col("default_category"),
+        F.when(F.length(limits) > 0, F.concat(F.lit("; "), limits)).otherwise(""),
+    )
+    return profiles.select("name", names.alias("categories"), "default_category", text.alias("described"))
 
 
 def report(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(REPORT).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return spark.read.schema(REPORT).options(**CSV).option("multiLine", True).csv(path)
 
 
 def write_report(results: DataFrame, path: str) -> None:
@@ -61,13 +79,16 @@ def write_report(results: DataFrame, path: str) -> None:
         return (F.concat_ws(",", name) if name == "key_topics" else F.col(name).cast(kind)).alias(name)
 
     columns = [part.strip().split() for part in REPORT.replace("\n", " ").split(",")]
-    results.select(*[column(n, k) for n, k in columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    results.select(*[column(n, k) for n, k in columns]).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def newest_report(spark: SparkSession, folder: str, pattern: str = "classification_report_*.csv") -> str | None:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    row = files.agg(F.max_by("path", "modificationTime").alias("p")).first()
-    return row["p"] if row else None
+    """The report written last, a file or a folder of parts; of several at one time the last by name. None where there is
+    none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    rows = [(f.getModificationTime(), f.getPath().toString()) for f in found or []]
+    return max(rows)[1] if rows else None
 
 
 def current(versions: DataFrame, key: str = "name", version: str = "version") -> DataFrame:

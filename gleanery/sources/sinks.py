@@ -9,17 +9,25 @@ SHORT = ("path", "destination", "classification", "score", "reasoning")
 AGAIN = ("source", "was", "now", "classification", "score", "reasoning", "is_error_fallback", "error_type", "retry_count", "burst_id")
 
 
+#: Texts are kept as they are, blanks and line ends included; CSV has no empty text beside the missing one.
+CSV = {"header": "true", "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+#: Times keep their microseconds.
+_JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def _columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
     have = set(df.columns)
     return df.select(*[F.col(n).cast("string").alias(n) if n in have else F.lit(None).cast("string").alias(n) for n in names])
 
 
 def write_short_report(results: DataFrame, path: str) -> None:
-    _columns(results, SHORT).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _columns(results, SHORT).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_reprocessing_report(results: DataFrame, path: str) -> None:
-    _columns(results, AGAIN).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    _columns(results, AGAIN).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def append_version(profile: DataFrame, path: str) -> None:
@@ -27,6 +35,27 @@ def append_version(profile: DataFrame, path: str) -> None:
     profile.write.mode("append").parquet(path)
 
 
+def append_sessions(sessions: DataFrame, path: str) -> None:
+    """A save of training sessions; saves are appended and ``profiles.latest_sessions`` picks each one's last."""
+    sessions.write.mode("append").options(**_JSON).json(path)
+
+
+def append_feedback(feedback: DataFrame, path: str) -> None:
+    """Corrections as they are submitted: file_path, correct_category, reasoning, submitted_at."""
+    feedback.select("file_path", "correct_category", "reasoning", "submitted_at").write.mode("append").options(**_JSON).json(path)
+
+
+def write_export(results: DataFrame, path: str) -> None:
+    """Every column of the results as CSV; list columns are joined by commas, other nested ones are JSON."""
+    def flat(name: str, kind: str):
+        if kind == "array<string>":
+            return F.concat_ws(",", name).alias(name)
+        nested = kind.startswith(("array", "map", "struct"))
+        return (F.to_json(name) if nested else F.col(name).cast("string")).alias(name)
+
+    results.select(*[flat(n, k) for n, k in results.dtypes]).write.mode("overwrite").options(**CSV).csv(path)
+
+
 def append_cache(entries: DataFrame, path: str) -> None:
     """(store, key, reply, size_bytes, created_at, error_type): failures are not kept, so that they are tried again."""
     kept = entries.where(F.col("reply").isNotNull() & F.col("error_type").isNull())

@@ -1,4 +1,4 @@
-"""An extension over the batch engine: sessions of a stream of items, and their routing, with late data."""
+"""An extension over the batch engine: sessions of a stream of items, with late data."""
 
 from __future__ import annotations
 
