@@ -92,6 +92,8 @@ def joint_similarity(more: np.ndarray, less: np.ndarray, na: np.ndarray, nb: np.
 
 def banding(limit: float, recall: float = 0.9995) -> tuple[int, int]:
     """(registers per band, bands): the longest bands that still find pairs at ``limit`` with ``recall``."""
+    if recall >= 1:
+        return 1, REGISTERS
     for width in range(8, 0, -1):
         chance = limit**width
         need = math.ceil(math.log(1 - recall) / math.log(1 - chance)) if chance < 1 else 1
@@ -173,19 +175,24 @@ def _sets(width: int):
     return run
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str, text_col: str, width: int = 5, limit: float = 0.8
-) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs). members: (id, rep) for every record with at least ``width`` words, rep being the smallest id
-    with the same shingle set. pairs: (a, b, similarity) of such representatives, a < b, with a Jaccard similarity of
-    ``limit`` or more.
+def _verified(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, common, either) of candidate pairs (a, b), counted on the shingle sets (id, set)."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = met.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either"))
 
-    Ids stand for one text each; equal rows repeated under one id count once, and of different texts under one id any
-    may be the one compared. Null ids, null, empty and shorter texts are in neither; equal texts share a
-    representative; very long texts are taken whole; an empty table gives empty results; extra columns are ignored.
-    A group of equal texts, even a third of all rows, is one row in all joins. Pairs are found with a probability of
-    0.9995 at the limit, and more above it; all that are returned are exact.
-    """
+
+def near_duplicate_links(
+    df: DataFrame, id_col: str, text_col: str, width: int = 5, limit: float = 0.8, recall: float = 0.9995, hot: int = 200
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(members, pairs, balls, sets); members and pairs as in ``near_duplicates``, but the pairs within a ball are left
+    out. balls: (rep, ball): representatives that all have a similarity of ``limit`` or more with each other. sets: (id,
+    set) of the representatives that occur in pairs or balls.
+
+    Where more than ``hot`` representatives share a band, they are compared with one of them only, the pivot. The Jaccard
+    distance is a metric, so those within half the limit's distance of a pivot are a ball: linked with each other
+    without looking at their pairs. Only representatives outside of balls, and those of different balls, meet in pairs.
+    So a group of n texts near one text costs in proportion to n."""
     scratch = Scratch(df.sparkSession)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     texts = texts.select("id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= width)
@@ -195,34 +202,86 @@ def near_duplicates(
         F.min("id").alias("rep"), F.min("size").alias("size"), F.min_by("regs", "id").alias("regs")
     )
     classes = scratch.keep(classes)
-    per, bands = banding(limit)
+    per, bands = banding(limit, recall)
     keyed = classes.select("rep", "size", "regs").mapInArrow(
         _banded(per, bands), f"rep {kind}, size int, s1 long, s2 long, keys array<long>"
     )
     keyed = keyed.select("rep", "size", "s1", "s2", F.explode("keys").alias("key"))
+
+    def set_of(wanted: DataFrame) -> DataFrame:
+        found = texts.join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+        return scratch.keep(found.mapInArrow(_sets(width), f"id {kind}, set array<long>").dropDuplicates(["id"]))
+
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("pivot")).where(F.col("n") > hot)
+    crowded = scratch.keep(crowded.select("key", "pivot"))
+    balls = scratch.keep(classes.select("rep", F.col("rep").alias("ball")).limit(0))
+    ball_sets = None
+    if not crowded.isEmpty():
+        near = scratch.keep(keyed.join(crowded, "key").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct())
+        ball_sets = set_of(near.select(F.col("a").alias("rep")).union(near.select("b")))
+        close = _verified(near, ball_sets).where(F.col("common") * 2 >= (1 + limit) * F.col("either") + 1e-9)
+        own = near.where("a = b").select("a", "b")  # a pivot is in its ball, unless in one of a smaller pivot
+        balls = close.select("a", "b").union(own).groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("ball"))
+        balls = scratch.keep(balls)
+        keyed = scratch.keep(keyed.join(balls, "rep", "left"))
     # bits of equal registers agree, those of others by chance: 4.2 standard deviations above what the limit expects
     odds = (1 - limit) / 2
     differ = math.ceil(REGISTERS * odds + 4.2 * math.sqrt(REGISTERS * odds * (1 - odds)))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep"))
-        & (F.least("a.size", "b.size") >= limit * F.greatest("a.size", "b.size") - 1e-9)
-        & (F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))) <= differ)
-    ).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
+    alike = (F.least("a.size", "b.size") >= limit * F.greatest("a.size", "b.size") - 1e-9) & (
+        F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2"))) <= differ
+    )
+    a, b, same = keyed.alias("a"), keyed.alias("b"), F.col("a.key") == F.col("b.key")
+    ends = [F.least("a.rep", "b.rep").alias("a"), F.greatest("a.rep", "b.rep").alias("b")]
+    if ball_sets is None:
+        met = a.join(b, same & (F.col("a.rep") < F.col("b.rep")) & alike).select(*ends)
+    else:
+        alone = keyed.where("ball is null").alias("a")
+        once = (F.col("a.rep") < F.col("b.rep")) | F.col("b.ball").isNotNull()
+        met = alone.join(b, same & once & (F.col("a.rep") != F.col("b.rep")) & alike).select(*ends)
+        held = keyed.where("ball is not null").select("key", "ball").distinct()
+        two = held.alias("x").join(held.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.ball") < F.col("y.ball")))
+        two = two.select("x.key", F.col("x.ball").alias("first"), F.col("y.ball").alias("second"))  # of a key, pairs of its balls
+        here = (F.col("k.key") == F.col("t.key")) & (F.col("k.ball") == F.col("t.first"))
+        left = keyed.alias("k").join(two.alias("t"), here).select("k.rep", "k.size", "k.s1", "k.s2", "k.key", "t.second")
+        left, right = left.alias("a"), keyed.alias("b")
+        across = left.join(right, same & (F.col("a.second") == F.col("b.ball")) & alike).select(*ends)
+        met = met.union(across)
+    met = met.distinct()
     side = classes.select("rep", "size", "regs")
     both = met.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
     likely = scratch.keep(both.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_estimated(limit), f"a {kind}, b {kind}"))
-    wanted = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(width), f"id {kind}, set array<long>")
-    sets = scratch.keep(sets.dropDuplicates(["id"]))
-    common = F.size(F.array_intersect("sa", "sb"))
-    exact = likely.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select(
-        "a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("either")
-    )
-    pairs = exact.where(F.col("common") >= limit * F.col("either") - 1e-9).select(
+    sets = set_of(likely.select(F.col("a").alias("rep")).union(likely.select("b")))
+    pairs = _verified(likely, sets).where(F.col("common") >= limit * F.col("either") - 1e-9).select(
         "a", "b", (F.col("common") / F.col("either")).alias("similarity")
     )
     members = rows.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select("id", "rep").distinct()
-    return members, pairs
+    return members, pairs, balls, sets if ball_sets is None else sets.union(ball_sets).dropDuplicates(["id"])
+
+
+def ball_pairs(balls: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs that balls stand for."""
+    x, y = balls.alias("x"), balls.alias("y")
+    met = x.join(y, (F.col("x.ball") == F.col("y.ball")) & (F.col("x.rep") < F.col("y.rep")))
+    return met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str, text_col: str, width: int = 5, limit: float = 0.8, **tuning
+) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs). members: (id, rep) for every record with at least ``width`` words, rep being the smallest id
+    with the same shingle set. pairs: (a, b, similarity) of such representatives, a < b, with a Jaccard similarity of
+    ``limit`` or more.
+
+    Ids stand for one text each; equal rows repeated under one id count once, and of different texts under one id any
+    may be the one compared. Null ids, null, empty and shorter texts are in neither; equal texts share a
+    representative; very long texts are taken whole; an empty table gives empty results; extra columns are ignored.
+    A group of equal texts, even a third of all rows, is one row in all joins. Pairs are found with a probability of
+    ``recall`` (0.9995) at the limit, and more above it; all that are returned are exact. With recall=1 every pair that
+    has a register in common is verified, which at these limits is every pair there is.
+    """
+    members, pairs, balls, sets = near_duplicate_links(df, id_col, text_col, width, limit, **tuning)
+    inside = _verified(ball_pairs(balls), sets)
+    return members, pairs.unionByName(inside.select("a", "b", (F.col("common") / F.col("either")).alias("similarity")))
 
 
 def duplicate_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -242,21 +301,33 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(feature_a, feature_b): files whose texts share at least 70 % of their three-word sequences."""
-    members, pairs = near_duplicates(_files(spark, sf_dir), "feature_id", "text_content", width=3, limit=0.7)
-    return duplicate_pairs(members, pairs).select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"))
+    members, pairs, balls, _ = near_duplicate_links(_files(spark, sf_dir), "feature_id", "text_content", width=3, limit=0.7)
+    return duplicate_pairs(members, pairs.select("a", "b").union(ball_pairs(balls))).select(F.col("a").alias("feature_a"), F.col("b").alias("feature_b"))
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per file that has a near duplicate (five words, 0.8): its group, its class of equal texts and the
     number of other texts it is linked with."""
-    members, pairs = near_duplicates(_files(spark, sf_dir), "feature_id", "text_content")
-    scratch = Scratch(spark)
-    pairs, members = scratch.keep(pairs), scratch.keep(members)
-    groups = connected_components(pairs, "a", "b").toDF("rep", "group_id")
-    links = pairs.select("a").union(pairs.select("b")).toDF("rep").groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
+    found = near_duplicate_links(_files(spark, sf_dir), "feature_id", "text_content")
+    return duplicate_groups(*found[:3]).select(
+        F.col("id").alias("feature_id"), "group_id", F.col("rep").alias("class_id"), "links"
+    )
+
+
+def duplicate_groups(members: DataFrame, pairs: DataFrame, balls: DataFrame) -> DataFrame:
+    """(id, group_id, rep, links) of every record with a near duplicate: its group, its class of equal texts, and the
+    number of other texts it is linked with; balls count as a whole, their pairs are not made."""
+    scratch = Scratch(members.sparkSession)
+    pairs, members = scratch.keep(pairs.select("a", "b")), scratch.keep(members)
+    hubs = balls.groupBy("ball").agg(F.min("rep").alias("hub"), (F.count(F.lit(1)) - 1).alias("mates"))
+    inside = scratch.keep(balls.join(hubs, "ball").select("rep", "hub", "mates"))
+    joined = pairs.union(inside.where("rep <> hub").select("rep", "hub"))
+    groups = connected_components(joined, "a", "b").toDF("rep", "group_id")
+    one = F.lit(1).cast("long").alias("links")
+    ends = pairs.select(F.col("a").alias("rep"), one).union(pairs.select("b", one)).union(inside.where("mates > 0").select("rep", "mates"))
+    links = ends.groupBy("rep").agg(F.sum("links").alias("links"))
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
     tagged = members.join(sizes, "rep").join(groups, "rep", "left").join(links, "rep", "left")
     return tagged.where("copies > 1 or links is not null").select(
-        F.col("id").alias("feature_id"), F.coalesce("group_id", "rep").alias("group_id"),
-        F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"),
-    )
+        "id", F.coalesce("group_id", "rep").alias("group_id"), "rep", F.coalesce("links", F.lit(0)).alias("links")
+    )

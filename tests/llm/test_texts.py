@@ -171,6 +171,49 @@ def test_leaks_of_nothing(spark):
     assert leaks.leaks(some, "id", "text", some, "id", "text").collect()[0]["covered"] == 12
 
 
+def _crowd(n, seed=11, spread=12):
+    """Texts near one text: some within half the limit of it, some further off, and a second crowd."""
+    rng = random.Random(seed)
+    base = [[f"c{k}w{i}" for i in range(160)] for k in range(2)]
+    base[1][:100] = base[0][:100]
+    out = []
+    for i in range(n):
+        t = list(base[i % 7 == 0])
+        for _ in range(rng.randint(0, 2) if i % 5 else rng.randint(0, spread)):
+            t[rng.randrange(len(t))] = f"e{rng.randrange(10**6)}"
+        out.append((i, " ".join(t)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10, 1000])
+def test_crowds_are_balls_around_pivots(spark, hot):
+    rows = _crowd(160) + [(1000 + i, t) for i, t in enumerate(_corpus(60))]
+    df = spark.createDataFrame(rows, "d long, t string")
+    sets = {i: {tuple(_words(t)[k : k + 5]) for k in range(len(_words(t)) - 4)} for i, t in rows}
+    first = {}
+    rep = {i: first.setdefault(frozenset(s), i) for i, s in sorted(sets.items()) if s}
+    reps = sorted(set(rep.values()))
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for k, a in enumerate(reps) for b in reps[k + 1 :]}
+    want = {k: v for k, v in want.items() if v >= 0.8 - 1e-12}
+    _, pairs = neardup.near_duplicates(df, "d", "t", recall=1.0, hot=hot)
+    got = pairs.collect()
+    assert len(got) == len(want) > 2000 and {(r["a"], r["b"]): pytest.approx(r["similarity"]) for r in got} == want
+    found = neardup.near_duplicate_links(df, "d", "t", recall=1.0, hot=hot)
+    assert (found[2].count() > 40) == (hot == 10)
+    groups = neardup.duplicate_groups(*found[:3]).collect()
+    links, near = {}, {}
+    for a, b in want:
+        for x, y in ((a, b), (b, a)):
+            links[x] = links.get(x, 0) + 1
+            near.setdefault(x, set()).add(y)
+    copies = {r: list(rep.values()).count(r) for r in reps}
+    assert {r["id"]: r["links"] for r in groups} == {i: links.get(r, 0) for i, r in rep.items() if links.get(r) or copies[r] > 1}
+    by = {}
+    for r in groups:
+        by.setdefault(r["group_id"], set()).add(r["rep"])
+    assert all(g == min(v) for g, v in by.items()) and all(y in by[r["group_id"]] for r in groups for y in near.get(r["rep"], ()))
+
+
 # ------------------------------------------------------------------------------------------------ truncation
 
 WHOLE = [
