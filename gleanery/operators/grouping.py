@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -199,54 +201,176 @@ def similar_bursts(
     return found.unionByName(alone.select("item", F.col("item").alias("burst_id"), F.lit(0).alias("burst_index"), F.lit(1).alias("burst_size")))
 
 
-def similar_pairs(df: DataFrame, item: str, vec: str, dim: int, limit: float, block_rows: int = 4096) -> DataFrame:
-    """(a, b, cosine) of all pairs a < b with a cosine of ``limit`` or more, exactly: a blocked matrix product. Each row
-    goes to one task per block, so the work is quadratic and for tables of millions an index is the way; null, zero or
-    odd-length vectors are in no pair. Items are unique numbers."""
-    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & F.exists(vec, lambda x: x != 0)).select(
-        F.col(item).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec")
+def _placed(df: DataFrame, item: str, vec: str, dim: int, limit: float, cell_rows: int, most_cells: int, block_rows: int) -> DataFrame:
+    """(id, vec, own, cell, x, y) of the usable rows (unit vectors): every pair with a cosine of ``limit`` or more has a
+    (cell, x, y) in common. Null, zero, non-finite and odd-length vectors are left out.
+
+    Cells are those of up to ``most_cells`` pivots, rows chosen by hash. A row goes to every cell whose border is within
+    half the limit's distance: the point midway between two similar rows is that near to both, so its cell holds both,
+    and nothing is lost. Limits near 1 need few cells a row; low ones need many, and in the end compare all rows. A cell of
+    more than block_rows rows is divided by a hash and treated pair of blocks (x, y) by pair of blocks."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0)).select(
+        F.col(item).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")
     )
-    blocks = max(1, -(-rows.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda i: F.struct(F.least(i, own).alias("x"), F.greatest(i, own).alias("y")))
-    spread = rows.withColumn("own", own).withColumn("p", F.explode(pairs)).select("id", "vec", "own", "p.x", "p.y")
+    total = rows.count()
+    cells = max(1, min(most_cells, total // cell_rows))
+    share = min(1_000_000, 2 * cells * 1_000_000 // max(total, 1) + 1)
+    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("vec").limit(cells).toArrow()
+    pivots = picked["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if picked.num_rows else np.zeros((0, dim))
+    pivots = np.unique(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), axis=0)
+    margin = float(np.sqrt(max(0.0, 2 - 2 * limit))) / 2 + 1e-6
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
+        for b in batches:
+            if not b.num_rows:
+                continue
+            u = b.column("vec").flatten().to_numpy().reshape(-1, dim)
+            u = u / np.abs(u).max(axis=1, keepdims=True)
+            u /= np.linalg.norm(u, axis=1, keepdims=True)
+            near = u @ pivots.T
+            first = near.argmax(axis=1)
+            border = near.max(axis=1)[:, None] - near
+            row, cell = np.nonzero(border <= margin * apart[first])
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * dim + 1, dim, dtype=np.int32)), pa.array(u[row].ravel()))
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), flat, pa.array(cell)], ["id", "vec", "cell"])
+
+    placed = rows.mapInArrow(place, "id long, vec array<double>, cell long") if len(pivots) > 1 else rows.withColumn("cell", F.lit(0).cast("long"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # one row a cell
+    placed = placed.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("x"), F.greatest(k, "own").alias("y")))
+    return placed.withColumn("p", F.explode(pairs)).select("id", "vec", "own", "cell", "p.x", "p.y")
+
+
+def _block(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(ids, unit vectors, split): the rows of a block or, of two blocks, those of the first before those of the second,
+    which begin at ``split``; 0 for one block."""
+    table = table.sort_by([("own", "ascending"), ("id", "ascending")]).combine_chunks()
+    m = table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+    own, across = table["own"].to_numpy(), table["x"][0].as_py() != table["y"][0].as_py()
+    return table["id"].to_numpy(), m / np.linalg.norm(m, axis=1, keepdims=True), int((own == table["x"][0].as_py()).sum()) if across else 0
+
+
+def similar_pairs(
+    df: DataFrame, item: str, vec: str, dim: int, limit: float, block_rows: int = 4096, cell_rows: int = 4096, most_cells: int = 1024
+) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b with a cosine (rounded to 9 decimals) of ``limit`` or more, each once, exactly.
+    Null, zero, non-finite or odd-length vectors are in no pair. Items are unique numbers."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("id").combine_chunks()
-        ids, own_ = table["id"].to_numpy(), table["own"].to_numpy()
-        m = table["vec"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, dim)
-        m /= np.linalg.norm(m, axis=1, keepdims=True)
         across = table["x"][0].as_py() != table["y"][0].as_py()
-        a, b, c = [], [], []
-        for s in range(0, len(ids), 512):
-            sim = m[s : s + 512] @ m.T
-            i, j = np.nonzero(sim >= limit - 1e-9)
-            ok = i + s < j
-            if across:
-                ok &= own_[i + s] != own_[j]
+        ids, m, split = _block(table, dim)
+        a, b, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        first, other = (split, m[split:]) if across else (len(ids), m)
+        for s in range(0, first, 512):
+            i, j = np.nonzero(m[s : min(s + 512, first)] @ other.T >= limit - 1e-9)
+            i, j = i + s, j + (split if across else 0)
+            ok = i != j if across else i < j
             i, j = i[ok], j[ok]
-            exact = np.round(np.einsum("ij,ij->i", m[i + s], m[j]), 9)
+            exact = np.round(np.einsum("ij,ij->i", m[i], m[j]), 9)
             ok = exact >= limit
-            a.append(ids[i[ok] + s])
-            b.append(ids[j[ok]])
+            a.append(np.minimum(ids[i], ids[j])[ok])
+            b.append(np.maximum(ids[i], ids[j])[ok])
             c.append(exact[ok])
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": np.concatenate(a or empty), "b": np.concatenate(b or empty), "cosine": np.concatenate(c or [np.zeros(0)])})
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "cosine": np.concatenate(c)})
+
+    met = _placed(df, item, vec, dim, limit, cell_rows, most_cells, block_rows)
+    return met.groupBy("cell", "x", "y").applyInArrow(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
-    return spread.groupBy("x", "y").applyInArrow(run, "a long, b long, cosine double")
 
+def similarity_components(
+    df: DataFrame, item: str, vec: str, dim: int, limit: float = 0.85, block_rows: int = 4096, cell_rows: int = 4096, most_cells: int = 1024
+) -> DataFrame:
+    """(item, group_id, group_size): items joined by chains of pairs with a cosine of ``limit`` or more; items without a
+    usable vector are groups of one. A task gives a forest of its rows, one link a row at most, never its pairs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        across = table["x"][0].as_py() != table["y"][0].as_py()
+        ids, m, split = _block(table, dim)
+        if across and split in (0, len(ids)):
+            return pa.table({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        lab = _forest(m, limit - 5e-10, split)  # as rounded to 9 decimals
+        at = np.flatnonzero(lab != np.arange(len(lab)))
+        return pa.table({"a": ids[at], "b": ids[lab[at]]})
 
-def similarity_components(df: DataFrame, item: str, vec: str, dim: int, limit: float = 0.85) -> DataFrame:
-    """(item, group_id, group_size): items joined by chains of similar pairs; items without a usable vector are groups
-    of one."""
-    pairs = similar_pairs(df, item, vec, dim, limit)
-    found = connected_components(pairs, "a", "b").withColumnRenamed("node", item)
+    met = _placed(df, item, vec, dim, limit, cell_rows, most_cells, block_rows)
+    links = met.groupBy("cell", "x", "y").applyInArrow(run, "a long, b long")
+    found = connected_components(links, "a", "b").withColumnRenamed("node", item)
     tagged = df.select(F.col(item).cast("long").alias(item)).join(found, item, "left")
     tagged = tagged.select(item, F.coalesce("component", item).alias("group_id"))
     sizes = tagged.groupBy("group_id").agg(F.count(F.lit(1)).alias("group_size"))
     return tagged.join(sizes, "group_id").select(item, "group_id", "group_size")
 
 
+def nearest_of(
+    vectors: DataFrame, asked: DataFrame, item: str, vec: str, dim: int, k: int, most_broadcast: int = 100_000, block_rows: int = 8192
+) -> DataFrame:
+    """(item, other, cosine, rank): the ``k`` most similar other vectors of every asked one, against all, exactly; ties
+    (cosines rounded to 6 decimals) by the smaller item. Vectors of null, zero, non-finite or odd length are left out.
+
+    Up to ``most_broadcast`` asked vectors are broadcast: one reading of the vectors, k rows an asked one and batch.
+    Beyond, blocks of asked rows meet blocks of all rows."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = lambda d: d.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0)).select(
+        F.col(item).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")
+    )
+    rows, ask = usable(vectors), usable(asked)
+    shape = "q long, other long, cosine double"
+
+    def unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        m = column.flatten().to_numpy().reshape(-1, dim)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+    def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, m: np.ndarray) -> pa.RecordBatch:
+        out = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        step = max(1, 2_000_000 // max(1, len(ids)))
+        for s in range(0, len(q), step):
+            c = np.round(q[s : s + step] @ m.T, 6)
+            c[q_ids[s : s + step, None] == ids[None, :]] = -2.0
+            kth = -np.partition(-c, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            i, j = np.nonzero((c >= kth[:, None]) & (c > -2.0))
+            order = np.lexsort((ids[j], -c[i, j], i))
+            i, j = i[order], j[order]
+            keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+            for to, values in zip(out, (q_ids[s + i[keep]], ids[j[keep]], c[i[keep], j[keep]])):
+                to.append(values)
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["q", "other", "cosine"])
+
+    if ask.limit(most_broadcast + 1).count() <= most_broadcast:
+        held = ask.toArrow()
+        known = vectors.sparkSession.sparkContext.broadcast((held["id"].to_numpy(), unit(held["vec"]) if held.num_rows else np.zeros((0, dim))))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield best(*known.value, b.column("id").to_numpy(), unit(b.column("vec")))
+
+        found = rows.mapInArrow(scan, shape)
+    else:
+        m, n = (max(1, -(-d.count() // block_rows)) for d in (ask, rows))
+        every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+        part = lambda c: F.pmod(F.xxhash64("id"), F.lit(c)).cast("int")
+        left = ask.select("id", "vec", part(m).alias("x"), every(n).alias("y"), F.lit(True).alias("asks"))
+        right = rows.select("id", "vec", every(m).alias("x"), part(n).alias("y"), F.lit(False).alias("asks"))
+
+        def meet(table: pa.Table) -> pa.Table:
+            asks = table["asks"].to_numpy()
+            ids, v = table["id"].to_numpy(), unit(table["vec"])
+            if asks.all() or not asks.any():
+                return pa.table({"q": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "cosine": np.zeros(0)})
+            return pa.Table.from_batches([best(ids[asks], v[asks], ids[~asks], v[~asks])])
+
+        found = left.unionByName(right).groupBy("x", "y").applyInArrow(meet, shape)
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "other"))), 1, k)
+    salted = found.groupBy("q", F.pmod(F.xxhash64("other"), F.lit(16))).agg(top.alias("b")).select("q", F.explode("b").alias("b"))
+    lists = salted.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("b"))
+    return lists.select(F.col("q").alias(item), F.posexplode("b").alias("r", "b")).select(
+        item, "b.other", (-F.col("b.c")).alias("cosine"), (F.col("r") + 1).alias("rank")
+    )
+
+
 def islands(df: DataFrame, row_no: str, size: str, index: str) -> DataFrame:
     """``df`` with burst_no, counted over the row order: a new island starts where size > 1 and index = 0; a row with
     size 1 closes the island and is in none (null); null sizes are 1, null indexes -1."""

@@ -208,21 +208,8 @@ qualify rank <= 3"""
 )
 def similarity_search(spark, sf_dir):
     """The three nearest of every vector whose id is divisible by 100, against all vectors."""
-    return _search(table(spark, sf_dir, "embeddings"))
-
-
-def _search(vectors: DataFrame) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    all_ = vectors.where("embedding is not null").select("vec_id", "embedding")
-    asked = all_.where("vec_id % 100 = 0").toDF("q", "e")
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(7)))
-    here = F.pmod(F.xxhash64("vec_id"), F.lit(8)).cast("int")
-    met = all_.withColumn("block", here).join(asked.withColumn("block", blocks), "block").where("q <> vec_id")
-    near = met.select(F.col("q").alias("vec_id"), F.col("vec_id").alias("other"), "block", F.round(media.cosine(F.col("embedding"), F.col("e")), 6).alias("cosine"))
-    order = [F.desc("cosine"), "other"]
-    best = near.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id", "block").orderBy(*order))).where("rank <= 3")
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where("rank <= 3").drop("block")
+    vectors = table(spark, sf_dir, "embeddings")
+    return grouping.nearest_of(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding", 64, 3)
 
 
 # ------------------------------------------------------------------------------------------ judgements

@@ -164,3 +164,45 @@ def test_ordered_scans(spark):
         assert (r["s"], r["p"], r["w"], r["pos"]) == (total, values[k - 1] if k else None, three, k + 1)
     assert [r["rank"] for r in global_rank(df, [F.desc("i")]).orderBy(F.desc("i")).collect()] == list(range(1, 501))
     assert global_rank(df.limit(0), [F.col("i")]).count() == 0
+
+
+def _vectors(n=400, dim=8, seed=9):
+    rng = np.random.default_rng(seed)
+    centres = rng.standard_normal((25, dim))
+    m = centres[np.arange(n) % 25] + 0.25 * rng.standard_normal((n, dim))
+    m[7], m[11] = m[3], 5 * m[3]
+    return m
+
+
+@pytest.mark.parametrize("limit", [0.97, 0.9, 0.3])
+def test_cells_lose_no_pair(spark, limit):
+    m = _vectors()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 8), (902, [float("nan")] * 8), (903, [1.0])]
+    df = spark.createDataFrame(rows, "item long, v array<double>")
+    sim = np.round(u @ u.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(sim >= limit)) if i < j}
+    tuning = dict(block_rows=16, cell_rows=20)
+    got = grouping.similar_pairs(df, "item", "v", 8, limit, **tuning).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want)
+    comp = list(range(len(m)))
+    for _ in range(len(m)):
+        before = list(comp)
+        for i, j in want:
+            comp[i] = comp[j] = min(comp[i], comp[j])
+        if comp == before:
+            break
+    groups = {r["item"]: r["group_id"] for r in grouping.similarity_components(df, "item", "v", 8, limit, **tuning).collect()}
+    assert groups == {**dict(enumerate(comp)), 900: 900, 901: 901, 902: 902, 903: 903}
+
+
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_nearest_of_some(spark, broadcast):
+    m = _vectors()
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(900, None)], "item long, v array<double>")
+    got = grouping.nearest_of(df, df.where("item % 10 = 1"), "item", "v", 8, 4, most_broadcast=broadcast, block_rows=64).collect()
+    sim = np.round(u @ u.T, 6)
+    want = {(i, r + 1): j for i in range(1, 400, 10) for r, j in enumerate(sorted((j for j in range(400) if j != i), key=lambda j: (-sim[i, j], j))[:4])}
+    assert {(r["item"], r["rank"]): r["other"] for r in got} == want
+    assert grouping.nearest_of(df.limit(0), df.limit(0), "item", "v", 8, 4, most_broadcast=broadcast).count() == 0
