@@ -347,14 +347,15 @@ def typical_members(members: DataFrame, points: DataFrame, dim: int, top: int =
                 key, at = np.unique(b.column("cluster").to_numpy(), return_inverse=True)
                 s = np.zeros((len(key), dim))
                 np.add.at(s, at, unit(matrix(b.column("vec"), dim)))
-                yield pa.RecordBatch.from_arrays([pa.array(key), lists(s, dim)], ["cluster", "sums"])
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(key) * dim + 1, dim, dtype=np.int32)), pa.array(s.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(key), flat], ["cluster", "sums"])
 
     def whole(table: pa.Table) -> pa.Table:
         s = matrix(table["sums"], dim).sum(axis=0)
         return pa.table({"cluster": table["cluster"][:1], "centroid": pa.array([s / (np.linalg.norm(s) or 1.0)])})
 
     centroids = (
-        rows.select("cluster", "vec").mapInArrow(part, "cluster long, sums array<float>")
+        rows.select("cluster", "vec").mapInArrow(part, "cluster long, sums array<double>")
         .groupBy("cluster").applyInArrow(whole, "cluster long, centroid array<double>")
     )
     dot = F.aggregate(F.zip_with("vec", "centroid", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda a, x: a + x)
@@ -386,3 +387,21 @@ def p1_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typical_members(members, points, 64).select(
         F.col("cluster").alias("cluster_key"), "size", "rank", F.col("id").alias("feature_id"), "cosine"
     )
+
+
+def p1_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groupings of the training sessions against the clusters: for each burst of a session's last save, and for its
+    single files (burst_no -1), the files that have a cluster or stand alone, and over how many clusters they are spread;
+    files without a usable embedding and files that are no documents have none."""
+    files = spark.read.parquet(f"{sf_dir}/document_features.parquet").select("feature_id", "path", "embedding")
+    members, _ = clusters(files, "feature_id", "embedding", dim=64, limit=0.85, least=1)
+    by_path = files.select("feature_id", "path").join(members.select(F.col("id").alias("feature_id"), "cluster"), "feature_id")
+    by_path = by_path.select("path", "cluster").distinct()
+    newest = F.max_by(F.struct("bursts", "singletons"), "updated_at").alias("s")
+    last = spark.read.parquet(f"{sf_dir}/training_sessions.parquet").groupBy("session_id").agg(newest)
+    bursts = last.select("session_id", F.posexplode("s.bursts").alias("burst_no", "files"))
+    single = last.select("session_id", F.lit(-1).alias("burst_no"), F.col("s.singletons").alias("files"))
+    listed = bursts.unionByName(single).select("session_id", "burst_no", F.explode("files").alias("path")).distinct()
+    return listed.join(by_path, "path").groupBy("session_id", "burst_no").agg(
+        F.count_distinct("path").alias("files"), F.count_distinct("cluster").alias("clusters")
+    )

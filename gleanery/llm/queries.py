@@ -11,6 +11,7 @@ from gleanery.llm import clusters, leaks, mixing, neardup, neighbours, pairwise,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": clusters.p1_found,
     "p1_typical": clusters.p1_typical,
+    "p1_sessions": clusters.p1_sessions,
     "p2_found": neighbours.p2_found,
     "p3_found": neardup.p3_found,
     "p3_groups": neardup.p3_groups,
@@ -61,6 +62,22 @@ ORACLES: dict[str, str] = {
     "p1_found": f"""{_CLUSTERS}
 select cluster_key, feature_id from tagged
 where cluster_key in (select cluster_key from tagged group by cluster_key having count(*) >= 3)""",
+    "p1_typical": f"""{_CLUSTERS},
+sized as (select *, count(*) over (partition by cluster_key) as size from tagged qualify size >= 3),
+units as (select cluster_key, size, feature_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u from sized join usable using (feature_id)),
+flat as (select cluster_key, unnest(u) as x, generate_subscripts(u, 1) as k from units),
+sums as (select cluster_key, k, sum(x) as s from flat group by all),
+centres as (select cluster_key, list(s order by k) as c from sums group by cluster_key),
+scored as (select cluster_key, size, feature_id, round(list_cosine_similarity(u, c), 6) as cosine from units join centres using (cluster_key))
+select cluster_key, size, cast(row_number() over (partition by cluster_key order by cosine desc, feature_id) as int) as rank, feature_id, cosine from scored qualify rank <= 3""",
+    "p1_sessions": f"""{_CLUSTERS},
+paths as (select distinct path, cluster_key from document_features join tagged using (feature_id)),
+s as (select session_id, unnest(max_by(struct_pack(bursts, singletons), updated_at)) from training_sessions group by session_id),
+listed as (
+  select session_id, cast(b.no as int) as burst_no, unnest(b.files) as path from (
+    select session_id, unnest(list_transform(bursts, lambda x, i: struct_pack(no := i - 1, files := x))) as b from s)
+  union all select session_id, -1, unnest(singletons) from s)
+select session_id, burst_no, count(distinct path) as files, count(distinct cluster_key) as clusters from listed join paths using (path) group by all""",
     "p2_found": f"""with {_COSINES},
 ranked as (select a, b, row_number() over (partition by a order by c desc, b) as r from pairs where c >= 0.85)
 select distinct least(a, b) as feature_a, greatest(a, b) as feature_b from ranked where r <= 5""",
