@@ -245,13 +245,15 @@ def _rest(state: DataFrame, points: DataFrame, dim: int, k: int, limit: float, s
 
 
 def similar_classes(
-    points: DataFrame, dim: int, k: int, limit: float, dims: int = 32, leaf_rows: int = 8192, sure: float = 0.9,
+    points: DataFrame, dim: int, k: int, limit: float, dims: int = 32, leaf_rows: int = 8192, sure: float = 0.99, planned: float = 0.9,
     within: float = 0.999999, max_trees: int = 64, max_leaves: int = 2**15, seed: int = 7, exact: bool = False, block_rows: int = 8192,
 ) -> DataFrame:
     """(rep, vec, miss, best): for every distinct vector its k most similar other vectors with a cosine of ``limit``
     or more, and the bound of the chance that a neighbour as near as the k-th (or as the limit, where there are fewer)
-    was missed; ``sure`` is asked of the farthest neighbours that count, nearer ones are missed far less. Rows with
-    miss > 1 - sure stopped without the test; with ``exact`` they are compared with all rows.
+    was missed. A row stops asking when it is at most 1 - sure. Rows with k neighbours near by do so soon; the trees are as
+    many as bring the bound to 1 - planned for a neighbour at the limit itself, which is the hardest to find. Rows with
+    miss > 1 - sure, mostly such with fewer than k neighbours, stopped without the test; with ``exact`` they are compared
+    with all rows.
 
     A tree is fitted on 32 rows a leaf, 16,384 to 262,144 in all, chosen by a hash of the id; every row is indexed. A leaf
     holds leaf_rows to 2*leaf_rows rows on average, so work grows in proportion to the rows, and with the number of
@@ -267,7 +269,7 @@ def similar_classes(
     fit = unit(matrix(sample["vec"], dim)).astype(np.float32) if sample.num_rows else np.zeros((0, dim), np.float32)
     radius = math.sqrt(max(0.0, 2 - 2 * limit))
     grow = lambda t: _Tree(fit, dims, depth, seed + t, leaf_rows, within)
-    trees = _planned(fit, grow, radius, sure, max_trees) if depth else [grow(0)]
+    trees = _planned(fit, grow, radius, planned, max_trees) if depth else [grow(0)]
     state = _start(points)
     for tree in trees:
         placed = state.mapInArrow(_leaf_of(tree, dim), f"{_STATE}, leaf long")

@@ -215,7 +215,7 @@ def test_rows_that_still_ask_are_compared_with_all(spark):
     m = _dense(seed=4, groups=30, size=10, alone=200)
     df = spark.createDataFrame(_rows(m), SHAPE)
     near, _ = _brute(list(range(1, len(m) + 1)), m, 5, 0.85)
-    tuning = dict(leaf_rows=16, sure=0.999999, max_trees=1)
+    tuning = dict(leaf_rows=16, sure=0.999999, planned=0.999999, max_trees=1)
     part = {(r["id"], r["other"]) for r in neighbours.nearest(df, "feature_id", "embedding", 64, **tuning).collect()}
     whole = {(r["id"], r["other"]) for r in neighbours.nearest(df, "feature_id", "embedding", 64, exact=True, block_rows=100, **tuning).collect()}
     want = {(i, o) for i, v in near.items() for o in v}
