@@ -113,6 +113,26 @@ def with_cache(df: DataFrame, cache: DataFrame, key: str, prompt: str, judge: Ju
     return hits.unionByName(judged(misses, key, prompt, judge, retry, workers).withColumn("cached", F.lit(False)))
 
 
+def varied_pairs(pairs: DataFrame, key: str, first: str, second: str, judge: Judge, retry: Retry = Retry(), enabled: bool = True) -> DataFrame:
+    """(key, varied, confidence, reason) by the judge's word on two texts each: whether both are worth showing. Without
+    the check, and where the judge fails or cannot be read, pairs are varied, with a confidence of 0.5."""
+    from gleanery.operators.validate import lenient_json
+
+    if not enabled:
+        return pairs.select(key, F.lit(True).alias("varied"), F.lit(0.5).alias("confidence"), F.lit("diversity is not checked").alias("reason"))
+    ask_ = F.concat(
+        F.lit('Do these two items differ enough to show both? Answer with a JSON object with varied, confidence and reason.\n\nFirst: '),
+        F.col(first), F.lit("\n\nSecond: "), F.col(second),
+    )
+    replies = judged(pairs.select(key, ask_.alias("prompt")), key, "prompt", judge, retry)
+    j = lenient_json(F.col("reply"))
+    return replies.select(
+        key, F.coalesce(F.try_variant_get(j, "$.varied", "boolean"), F.lit(True)).alias("varied"),
+        F.coalesce(F.try_variant_get(j, "$.confidence", "double"), F.lit(0.5)).alias("confidence"),
+        F.coalesce(F.try_variant_get(j, "$.reason", "string"), F.col("error_message"), F.lit("no reason given")).alias("reason"),
+    )
+
+
 def spread(groups: DataFrame, replies: DataFrame, group: str | list[str], position: str, listed: str, out: str = "judgement") -> DataFrame:
     """Members joined with their judgement by position: replies holds one array per group (and chunk). Members beyond
     the array get null."""

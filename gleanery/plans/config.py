@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, fields
+import json
+from dataclasses import asdict, dataclass, field, fields
 from pathlib import Path
 
 
@@ -90,6 +91,49 @@ class Config:
         return cls(**parts)
 
 
+def _scalar(text: str):
+    for value, names in ((None, ("", "null", "~")), (True, ("true", "yes", "on")), (False, ("false", "no", "off"))):
+        if text.lower() in names:
+            return value
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
+def load(path: str | Path) -> Config:
+    """Settings from JSON, or from YAML of two levels: sections with plain values, comments allowed."""
+    text = Path(path).read_text(encoding="utf-8")
+    if text.lstrip().startswith("{"):
+        return Config.of(json.loads(text))
+    tree: dict[str, dict] = {}
+    section: dict = {}
+    for line in text.splitlines():
+        bare = line.split(" #")[0].rstrip()
+        if not bare.strip() or bare.lstrip().startswith("#"):
+            continue
+        name, colon, value = bare.strip().partition(":")
+        if not colon:
+            raise ValueError(f"cannot read: {line}")
+        if not line[0].isspace():
+            section = tree.setdefault(name, {})
+        else:
+            section[name] = _scalar(value.strip())
+    return Config.of(tree)
+
+
+def save(config: Config, path: str | Path) -> None:
+    """The settings as YAML of two levels, or as JSON where the name says so."""
+    tree = asdict(config)
+    if str(path).endswith(".json"):
+        text = json.dumps(tree, indent=2) + "\n"
+    else:
+        text = "".join(f"{name}:\n" + "".join(f"  {k}: {json.dumps(v)}\n" for k, v in part.items()) for name, part in tree.items())
+    Path(path).write_text(text, encoding="utf-8")
+
+
 def find(*places: str | Path | None, name: str = "gleanery.json") -> Path | None:
     """The first of the given files or folders that holds the settings."""
     for place in places:

@@ -176,6 +176,18 @@ class Pipeline:
     def run(self, items: DataFrame, cache: DataFrame | None = None) -> DataFrame:
         return items.transform(self.group).transform(lambda d: self.ask(d, cache)).transform(self.read).transform(self.place)
 
+    def again(self, items: DataFrame, results: DataFrame) -> DataFrame:
+        """Failed results judged once more, past any cache: a group whose members all failed as a whole, of other groups the
+        failed members alone. items as for ``run``; results: item_id, group_id, group_index, group_size and
+        is_error_fallback of an earlier run. ``recover.summary`` compares both."""
+        error = F.coalesce("is_error_fallback", F.lit(False))
+        rows = results.select("item_id", "group_id", "group_index", "group_size", error.alias("__e"))
+        lost = rows.groupBy("group_id").agg(F.bool_and("__e").alias("__whole"))
+        bad = rows.where("__e").join(lost, "group_id")
+        keep = lambda name, alone: F.when(F.col("__whole"), F.col(name)).otherwise(alone).alias(name)
+        bad = bad.select("item_id", keep("group_id", F.col("item_id")), keep("group_index", F.lit(0)), keep("group_size", F.lit(1)))
+        return items.join(bad, "item_id").transform(self.ask).transform(self.read).transform(self.place)
+
     def bundles(self, files: DataFrame) -> DataFrame:
         """(bundle, files, classification, score, is_error_fallback, error_type, destination): each bundle judged as one
         whole. files: bundle, path."""

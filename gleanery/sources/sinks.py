@@ -62,6 +62,41 @@ def append_cache(entries: DataFrame, path: str) -> None:
     kept.write.mode("append").partitionBy("store").parquet(path)
 
 
+def transferred(files: DataFrame, source: str, target: str, move: bool = False) -> DataFrame:
+    """(source, target, outcome) for files copied, or moved, in the tasks; paths must be those of a file system that all
+    executors mount. outcome: done, there (the target is there already, as after a task that ran again), missing, or the
+    error. One file's failure stops no other. The result is lazy: nothing moves until it is read, and it should be
+    written down."""
+    def run(batches):
+        import os
+        import shutil
+        import uuid
+
+        import pandas as pd
+
+        for b in batches:
+            said = []
+            for a, z in zip(b[source], b[target]):
+                try:
+                    if not os.path.exists(a):
+                        said.append("there" if move and os.path.exists(z) else "missing")
+                    elif os.path.exists(z) and os.path.getsize(z) == os.path.getsize(a) and not move:
+                        said.append("there")
+                    else:
+                        os.makedirs(os.path.dirname(z), exist_ok=True)
+                        part = f"{z}.{uuid.uuid4().hex}.part"  # whole or not at all
+                        shutil.copy2(a, part)
+                        os.replace(part, z)
+                        if move:
+                            os.remove(a)
+                        said.append("done")
+                except OSError as error:
+                    said.append(str(error))
+            yield pd.DataFrame({"source": b[source], "target": b[target], "outcome": said})
+
+    return files.select(source, target).mapInPandas(run, "source string, target string, outcome string")
+
+
 def newest_entries(cache: DataFrame) -> DataFrame:
     """One entry per store and key, the one written last."""
     rest = [c for c in cache.columns if c not in ("store", "key")]

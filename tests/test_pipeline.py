@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleanery.functions import embed, office
-from gleanery.operators import judge, labels
+from gleanery.operators import judge, labels, recover
+from gleanery.plans import config as settings
 from gleanery.plans.config import Config
 from gleanery.plans.pipeline import Pipeline
 from gleanery.sources import sinks
@@ -181,6 +182,60 @@ def test_replies_are_asked_once(spark, tmp_path):
     assert len(list(tmp_path.iterdir())) == 3
 
 
+def test_failures_are_judged_again(spark):
+    quick = judge.Retry(attempts=1)
+    t = datetime(2024, 1, 1)
+    rows = [(1, "/a/1.jpg", "image", "/a", t), (2, "/a/2.jpg", "image", "/a", t), (3, "/b/bad.jpg", "image", "/b", t), (4, "/b/4.jpg", "image", "/b", t), (5, "/c/bad.mp4", "video", "/c", t)]
+    df = spark.createDataFrame(rows, SHAPE)
+    before = Pipeline(judge=_odd(), retry=quick).run(df)  # the whole burst of 3 and 4 fails, and 5
+    assert {r["item_id"] for r in before.where("is_error_fallback").collect()} == {3, 4, 5}
+    after = Pipeline(retry=quick).again(df, before)
+    got = {r["item_id"]: r for r in after.collect()}
+    assert set(got) == {3, 4, 5} and (got[3]["group_size"], got[3]["rank"], got[4]["rank"], got[5]["group_size"]) == (2, 1, 2, 1)
+    partly = before.withColumn("is_error_fallback", F.col("item_id") == 3)
+    assert [(r["item_id"], r["group_size"], r["rank"]) for r in Pipeline(retry=quick).again(df, partly).collect()] == [(3, 1, None)]
+    row = recover.summary(before.where("is_error_fallback"), after, "item_id").first()
+    assert row["rows"] == 3 and row["still_error"] == 0 and row["still_review"] + row["recovered"] == 3
+
+
+def test_pairs_by_the_judges_word(spark):
+    class Word:
+        name = "word"
+
+        def reply(self, prompt):
+            if "down" in prompt:
+                raise OSError("no answer")
+            return '{"varied": false, "confidence": 0.9, "reason": "alike"}' if "same" in prompt else "?"
+
+    df = spark.createDataFrame([(1, "same", "same"), (2, "a", "b"), (3, "down", "x")], "k int, a string, b string")
+    got = {r["k"]: (r["varied"], r["confidence"], r["reason"]) for r in judge.varied_pairs(df, "k", "a", "b", Word(), judge.Retry(attempts=1)).collect()}
+    assert got == {1: (False, 0.9, "alike"), 2: (True, 0.5, "no reason given"), 3: (True, 0.5, "no answer")}
+    assert judge.varied_pairs(df, "k", "a", "b", Word(), enabled=False).where("varied and confidence = 0.5").count() == 3
+
+
+def test_files_are_copied_and_moved(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / name).write_text(name)
+    rows = [(str(tmp_path / n), str(tmp_path / "out" / "Share" / n)) for n in ("a", "b", "gone")]
+    df = spark.createDataFrame(rows, "s string, t string")
+    said = lambda move: [r["outcome"] for r in sorted(sinks.transferred(df, "s", "t", move).collect())]
+    assert said(False) == ["done", "done", "missing"] and said(False) == ["there", "there", "missing"]
+    assert (tmp_path / "a").exists() and said(True) == ["done", "done", "missing"] and said(True) == ["there", "there", "missing"]
+    assert not (tmp_path / "a").exists() and sorted(p.name for p in (tmp_path / "out" / "Share").iterdir()) == ["a", "b"]
+
+
+def test_settings_are_saved_and_loaded(tmp_path):
+    config = Config.of({"routing": {"share_threshold": 5, "diversity": False}, "bursts": {"similarity": 0.9}})
+    for name in ("c.yaml", "c.json"):
+        settings.save(config, tmp_path / name)
+        assert settings.load(tmp_path / name) == config
+    (tmp_path / "d.yaml").write_text("# ours\nrouting:\n  share_threshold: 5  # strict\n  odd: 'x'\nbursts:\n  enabled: no\n")
+    assert settings.load(tmp_path / "d.yaml") == Config.of({"routing": {"share_threshold": 5}, "bursts": {"enabled": False}})
+    (tmp_path / "e.yaml").write_text("routing:\n  share_threshold: 9\n")
+    with pytest.raises(ValueError):
+        settings.load(tmp_path / "e.yaml")
+
+
 def test_feedback(spark):
     t = datetime(2024, 1, 1)
     rows = [(f"f{i}", None if i == 3 else "A" if i % 2 else "B", f"r{i}" if i % 5 else " ", t + timedelta(hours=i)) for i in range(60)]
