@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +78,29 @@ def greedy_groups(unit: np.ndarray, limit: float) -> np.ndarray:
     return label
 
 
+def _joined(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``lab`` (the smallest row that each row is joined to) after the links i - j."""
+    a, b = lab[i], lab[j]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
+    if not pairs.shape[1]:
+        return lab
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for x, y in pairs.T.tolist():
+        x, y = root(x), root(y)
+        up[max(x, y)] = min(x, y)
+    moved = np.arange(len(lab))
+    for x in up:
+        moved[x] = root(x)
+    return moved[lab]
+
+
 def _forest(m: np.ndarray, limit: float, split: int, rows: int = 64) -> np.ndarray:
     """The smallest row that each row is joined to by chains of cosines of ``limit`` or more; with ``split`` > 0 only those
     between rows before it and the others count."""
@@ -84,25 +108,7 @@ def _forest(m: np.ndarray, limit: float, split: int, rows: int = 64) -> np.ndarr
     first, other = (len(m), m) if split == 0 else (split, m[split:])
     for s in range(0, first, rows):
         i, j = np.nonzero(m[s : min(s + rows, first)] @ other.T >= limit)
-        a, b = lab[i + s], lab[j + split]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)])[:, a != b], axis=1)
-        if not pairs.shape[1]:
-            continue
-        up: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        for x, y in pairs.T.tolist():
-            x, y = root(x), root(y)
-            up[max(x, y)] = min(x, y)
-        moved = np.arange(len(m))
-        for x in up:
-            moved[x] = root(x)
-        lab = moved[lab]
+        lab = _joined(lab, i + s, j + split)
     return lab
 
 
@@ -201,48 +207,275 @@ def similar_bursts(
     return found.unionByName(alone.select("item", F.col("item").alias("burst_id"), F.lit(0).alias("burst_index"), F.lit(1).alias("burst_size")))
 
 
-def _placed(df: DataFrame, item: str, vec: str, dim: int, limit: float, cell_rows: int, most_cells: int, block_rows: int) -> DataFrame:
+def _usable(df: DataFrame, item: str, vec: str, dim: int) -> DataFrame:
+    """(id, vec) without null, zero, non-finite and odd-length vectors; floats stay floats."""
+    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    kind = "array<float>" if dict(df.dtypes)[vec] == "array<float>" else "array<double>"
+    return df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0)).select(
+        F.col(item).cast("long").alias("id"), F.col(vec).cast(kind).alias("vec")
+    )
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # keeps huge values finite
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _drawn(rows: DataFrame, total: int, wanted: int, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, unit vectors) of up to ``wanted`` of the ``total`` rows, chosen by hash."""
+    share = min(1_000_000, 2 * wanted * 1_000_000 // max(total, 1) + 1)
+    got = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).limit(wanted).toArrow()
+    if not got.num_rows:
+        return np.zeros(0, np.int64), np.zeros((0, dim))
+    return got["id"].to_numpy(), _unit(got["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+
+
+def _pivots(rows: DataFrame, total: int, dim: int, cell_rows: int, most_cells: int) -> np.ndarray:
+    return np.unique(_drawn(rows, total, max(1, min(most_cells, total // cell_rows)), dim)[1], axis=0)
+
+
+def _near_cells(u: np.ndarray, pivots: np.ndarray, limit: float) -> np.ndarray:
+    """(row, cell): the border of the cell is within half the limit's distance of the row."""
+    margin = float(np.sqrt(max(0.0, 2 - 2 * limit))) / 2 + 1e-6
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
+    near = u @ pivots.T
+    return near.max(axis=1)[:, None] - near <= margin * apart[near.argmax(axis=1)]
+
+
+def _placed(rows: DataFrame, pivots: np.ndarray, dim: int, limit: float, block_rows: int) -> DataFrame:
     """(id, vec, own, cell, x, y) of the usable rows (unit vectors): every pair with a cosine of ``limit`` or more has a
-    (cell, x, y) in common. Null, zero, non-finite and odd-length vectors are left out.
+    (cell, x, y) in common.
 
-    Cells are those of up to ``most_cells`` pivots, rows chosen by hash. A row goes to every cell whose border is within
+    Cells are those of the pivots, rows chosen by hash. A row goes to every cell whose border is within
     half the limit's distance: the point midway between two similar rows is that near to both, so its cell holds both,
     and nothing is lost. Limits near 1 need few cells a row; low ones need many, and in the end compare all rows. A cell of
     more than block_rows rows is divided by a hash and treated pair of blocks (x, y) by pair of blocks."""
-    finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = df.where(F.col(vec).isNotNull() & (F.size(vec) == dim) & finite & F.exists(vec, lambda x: x != 0)).select(
-        F.col(item).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")
-    )
-    total = rows.count()
-    cells = max(1, min(most_cells, total // cell_rows))
-    share = min(1_000_000, 2 * cells * 1_000_000 // max(total, 1) + 1)
-    picked = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("vec").limit(cells).toArrow()
-    pivots = picked["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim) if picked.num_rows else np.zeros((0, dim))
-    pivots = np.unique(pivots / np.linalg.norm(pivots, axis=1, keepdims=True), axis=0)
-    margin = float(np.sqrt(max(0.0, 2 - 2 * limit))) / 2 + 1e-6
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        apart = np.sqrt(np.maximum(0.0, 2 - 2 * pivots @ pivots.T))
         for b in batches:
             if not b.num_rows:
                 continue
-            u = b.column("vec").flatten().to_numpy().reshape(-1, dim)
-            u = u / np.abs(u).max(axis=1, keepdims=True)
-            u /= np.linalg.norm(u, axis=1, keepdims=True)
-            near = u @ pivots.T
-            first = near.argmax(axis=1)
-            border = near.max(axis=1)[:, None] - near
-            row, cell = np.nonzero(border <= margin * apart[first])
+            u = _unit(b.column("vec").flatten().to_numpy().reshape(-1, dim))
+            row, cell = np.nonzero(_near_cells(u, pivots, limit))
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, len(row) * dim + 1, dim, dtype=np.int32)), pa.array(u[row].ravel()))
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), flat, pa.array(cell)], ["id", "vec", "cell"])
 
-    placed = rows.mapInArrow(place, "id long, vec array<double>, cell long") if len(pivots) > 1 else rows.withColumn("cell", F.lit(0).cast("long"))
+    alone = rows.select("id", F.col("vec").cast("array<double>").alias("vec"), F.lit(0).cast("long").alias("cell"))
+    placed = rows.mapInArrow(place, "id long, vec array<double>, cell long") if len(pivots) > 1 else alone
     sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))  # one row a cell
     placed = placed.join(F.broadcast(sizes), "cell").withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("x"), F.greatest(k, "own").alias("y")))
     return placed.withColumn("p", F.explode(pairs)).select("id", "vec", "own", "cell", "p.x", "p.y")
 
 
+class _Hubs:
+    """Rows that many of a sample are near to, with what is known of their components from it.
+
+    A row is of a hub's ball if it is within half the limit's angle of it. It then is of the hub's component, and rows
+    further than one and a half angles from the hub are like none of the ball. A row between that is not linked to the
+    hub's component asks the ball. Hubs that so many rows ask that it would cost more than their ball saves are none."""
+
+    def __init__(self, ids: np.ndarray, u: np.ndarray, limit: float, total: int, block_rows: int, least: int = 3):
+        self.limit = limit
+        angle = float(np.arccos(np.clip(limit - 1e-9, -1, 1)))
+        self.ball = float(np.cos(angle / 2))
+        self.far = float(np.cos(min(np.pi, 1.5 * angle))) - 1e-7 if 1.5 * angle < np.pi else -2.0
+        small = u.astype(np.float32)
+        near = np.zeros((len(u), len(u)), bool)
+        for s in range(0, len(u), 512):
+            near[s : s + 512] = small[s : s + 512] @ small.T >= self.ball
+        degree, chosen = near.sum(axis=1), []
+        while len(degree) and degree.max() >= least:
+            chosen.append(int(degree.argmax()))
+            fellows = np.flatnonzero(near[chosen[-1]])
+            degree = degree - near[:, fellows].sum(axis=1)
+            near[:, fellows] = False
+        self.ids, self.u = ids[chosen], u[chosen]
+        lab = np.arange(len(chosen))
+        linked = np.round(u @ self.u.T, 9) >= limit
+        row, hub = np.nonzero(linked)
+        if len(row):
+            lab = _joined(lab, linked.argmax(axis=1)[row], hub)
+        self._number(lab)
+        own, _, asks = self.places(u)
+        scale = max(1.0, total / max(1, len(u)))
+        members = np.bincount(own[own >= 0], minlength=len(lab)) * scale
+        asking = np.bincount(asks[1], minlength=len(lab)) * scale
+        cost = members * np.ceil(asking / block_rows) + asking * np.ceil(members / block_rows)
+        kept = np.flatnonzero(cost <= 3 * members)
+        self.ids, self.u = self.ids[kept], self.u[kept]
+        self._number(self.part[kept])
+
+    def _number(self, lab: np.ndarray) -> None:
+        """Puts the hubs in the order of their components, numbered from 0."""
+        order = np.argsort(lab, kind="stable")
+        self.ids, self.u = self.ids[order], self.u[order]
+        _, self.first, self.part = np.unique(lab[order], return_index=True, return_inverse=True)
+        self.head = self.ids[self.first]
+
+    def places(self, u: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Each row's ball (-1: none), the (row, component) linked, and the (row, hub) where the row asks the ball."""
+        own, links, asks = np.full(len(u), -1), [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
+        for s in range(0, len(u) if len(self.u) else 0, 2048):
+            near = u[s : s + 2048] @ self.u.T
+            linked = np.round(near, 9) >= self.limit
+            at = near.argmax(axis=1)
+            every = np.arange(len(at))
+            own[s : s + len(at)] = np.where((near[every, at] >= self.ball) & linked[every, at], at, -1)
+            known = np.logical_or.reduceat(linked, self.first, axis=1)
+            for to, hits in ((links, known), (asks, (near >= self.far) & ~known[:, self.part])):
+                row, other = np.nonzero(hits)
+                to.append(np.stack([row + s, other]))
+        return own, tuple(np.concatenate(links, axis=1)), tuple(np.concatenate(asks, axis=1))
+
+
+def _asked(table: pa.Table, dim: int, limit: float, slack: float) -> np.ndarray:
+    """The ids of the asking rows that are like any of the others."""
+    asks, ids = table["asks"].to_numpy(), table["id"].to_numpy()
+    u = _unit(table["vec"].combine_chunks().flatten().to_numpy().reshape(-1, dim))
+    own, ball = np.flatnonzero(asks), np.flatnonzero(~asks)
+    small, found = u.astype(np.float32), np.zeros(len(own), bool)
+    for s in range(0, len(own) if len(ball) else 0, 512):
+        near = small[own[s : s + 512]] @ small[ball].T
+        sure = near.max(axis=1) >= limit + slack
+        i, j = np.nonzero((near >= limit - slack) & ~sure[:, None])
+        sure[i[np.round(np.einsum("ij,ij->i", u[own[s + i]], u[ball[j]]), 9) >= limit]] = True
+        found[s : s + len(sure)] = sure
+    return ids[own[found]]
+
+
+def _apart_links(rows: DataFrame, drawn: tuple[np.ndarray, np.ndarray], total: int, dim: int, limit: float, block_rows: int) -> DataFrame:
+    """(a, b) that join the usable rows (id, vec) into the components of "cosine >= limit", exactly, for limits at which
+    rows would have to go to many cells.
+
+    Rows in the ball of a hub are done, but for the few rows that ask it. The others are compared with each other: they
+    are written once, in blocks, and pairs of blocks are read, not shuffled, so the disk holds each row once whatever
+    the limit is. The work is quadratic in the rows that are in no ball: single precision, and doubles next to the limit.
+    A task gives one link a row at most, over all its blocks."""
+    spark, scratch = rows.sparkSession, Scratch(rows.sparkSession)
+    kind = dict(rows.dtypes)["vec"]
+    number = np.float32 if kind == "array<float>" else np.float64
+    slack = (dim + 4) * 6e-8  # more than a product of single-precision unit vectors can be off
+    hubs = _Hubs(*drawn, limit, total, block_rows)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def listed(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+        for b in batches:
+            if b.num_rows:
+                own, links, asks = hubs.places(_unit(b.column("vec").flatten().to_numpy().reshape(-1, dim)))
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(own.astype(np.int32)), *(listed(*x, b.num_rows) for x in (links, asks))], [*b.schema.names, "own", "parts", "asks"]
+                )
+
+    placed = scratch.keep(rows.select("id", "vec").mapInArrow(place, f"id long, vec {kind}, own int, parts array<int>, asks array<int>"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, []
+
+        def packed(t: pa.Table) -> pa.RecordBatch:
+            t = t.combine_chunks()
+            vec = t["vec"].combine_chunks().flatten().to_numpy().astype(number)
+            data = [t["id"].to_numpy().astype(np.int64).tobytes(), t["tag"].to_numpy().astype(np.int32).tobytes(), vec.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([block]), *(pa.array([d], pa.binary()) for d in data)], ["block", "ids", "tags", "vecs"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) < block_rows:
+                continue
+            t = pa.Table.from_batches(held)
+            while len(t) >= block_rows:
+                yield packed(t.slice(0, block_rows))
+                t, block = t.slice(block_rows), block + 1
+            held = t.to_batches()
+        if sum(x.num_rows for x in held):
+            yield packed(pa.Table.from_batches(held))
+
+    left = placed.where("own < 0").select("id", "vec", F.coalesce(F.try_element_at("parts", F.lit(1)), F.lit(-1)).alias("tag"))
+    blocks = scratch.keep(left.mapInArrow(pack, "block long, ids binary, tags binary, vecs binary"))
+    x, y = blocks.toDF("x", "ids_x", "tags_x", "vecs_x"), blocks.toDF("y", "ids_y", "tags_y", "vecs_y")
+    one_way = (F.col("x") < F.col("y")) == (F.xxhash64(F.least("x", "y"), F.greatest("x", "y")) % 2 == 0)  # spreads the pairs over the tasks
+    pairs = x.join(y.hint("shuffle_replicate_nl"), (F.col("x") == F.col("y")) | ((F.col("x") != F.col("y")) & one_way))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lab, ids, start, tagged = np.zeros(0, np.int64), [], {}, np.full(len(hubs.head), -1)
+        u_x, at_x = np.zeros((0, dim)), None
+
+        def met(b: pa.RecordBatch, r: int, side: str) -> int:
+            """Where the rows of a block begin among those of the task."""
+            nonlocal lab
+            block = b.column(side)[r].as_py()
+            if block not in start:
+                start[block] = len(lab)
+                ids.append(np.frombuffer(b.column(f"ids_{side}")[r].as_buffer(), np.int64).copy())
+                tags = np.frombuffer(b.column(f"tags_{side}")[r].as_buffer(), np.int32)
+                lab = np.concatenate([lab, len(lab) + np.arange(len(tags))])
+                for tag in np.unique(tags[tags >= 0]):
+                    own = start[block] + np.flatnonzero(tags == tag)
+                    if tagged[tag] < 0:
+                        tagged[tag] = own[0]
+                    lab[own] = lab[tagged[tag]]
+            return start[block]
+
+        def vectors(b: pa.RecordBatch, r: int, side: str) -> np.ndarray:
+            return _unit(np.frombuffer(b.column(f"vecs_{side}")[r].as_buffer(), number).reshape(-1, dim))
+
+        for b in batches:
+            for r in range(b.num_rows):
+                x, y = met(b, r, "x"), met(b, r, "y")
+                if at_x != x:
+                    u_x, at_x = vectors(b, r, "x"), x
+                    small_x = u_x.astype(np.float32)
+                u_y = u_x if x == y else vectors(b, r, "y")
+                other = np.ascontiguousarray(u_y.astype(np.float32).T)
+                for s in range(0, len(u_x), 512):
+                    near = small_x[s : s + 512] @ other
+                    hit = near >= limit - slack
+                    if x == y:
+                        hit = np.triu(hit, s + 1)
+                    if np.count_nonzero(hit) > 8 * len(other.T):  # a dense group, most of which is joined already
+                        hit &= lab[x + s : x + s + len(hit), None] != lab[None, y : y + len(u_y)]
+                    i, j = np.divmod(np.flatnonzero(hit), len(u_y))  # far faster than nonzero of a matrix of few hits
+                    doubt = np.flatnonzero(near[i, j] < limit + slack)
+                    if len(doubt):
+                        sure = np.ones(len(i), bool)
+                        sure[doubt] = np.round(np.einsum("ij,ij->i", u_x[s + i[doubt]], u_y[j[doubt]]), 9) >= limit
+                        i, j = i[sure], j[sure]
+                    if len(i):
+                        lab = _joined(lab, x + s + i, y + j)
+        at = np.flatnonzero(lab != np.arange(len(lab)))
+        if len(at):
+            every = np.concatenate(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(every[at]), pa.array(every[lab[at]])], ["a", "b"])
+
+    links = pairs.mapInArrow(meet, "a long, b long")
+    if not len(hubs.ids):
+        return links
+    known = spark.createDataFrame(pa.table({"part": np.arange(len(hubs.head), dtype=np.int32), "head": hubs.head}))
+    own = spark.createDataFrame(pa.table({"a": hubs.ids, "b": hubs.head[hubs.part]}))
+    linked = placed.select("id", F.explode("parts").alias("part")).join(F.broadcast(known), "part").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    links = links.unionByName(own).unionByName(linked)
+    asking = placed.select("id", "vec", F.explode("asks").alias("own"))
+    counts = asking.groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    sizes = placed.join(F.broadcast(counts), "own").groupBy("own").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n"))
+    sizes = scratch.keep(sizes.select("own", *(F.ceil(F.col(c) / block_rows).cast("int").alias(c) for c in "mn")))  # one row a hub
+    if sizes.isEmpty():
+        return links
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    part = lambda c: F.pmod(F.xxhash64("id"), c).cast("int")
+    ask = asking.join(F.broadcast(sizes), "own").select("id", "vec", "own", part("n").alias("x"), every("m").alias("y"), F.lit(True).alias("asks"))
+    ball = placed.join(F.broadcast(sizes), "own").select("id", "vec", "own", every("n").alias("x"), part("m").alias("y"), F.lit(False).alias("asks"))
+
+    def answer(table: pa.Table) -> pa.Table:
+        found = _asked(table, dim, limit, slack)
+        head = hubs.head[hubs.part[table["own"][0].as_py()]]
+        return pa.table({"a": pa.array(found, pa.int64()), "b": pa.array(np.full(len(found), head), pa.int64())})
+
+    return links.unionByName(ask.unionByName(ball).groupBy("own", "x", "y").applyInArrow(answer, "a long, b long"))
+
+
 def _block(table: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(ids, unit vectors, split): the rows of a block or, of two blocks, those of the first before those of the second,
     which begin at ``split``; 0 for one block."""
@@ -275,15 +508,20 @@ def similar_pairs(
             c.append(exact[ok])
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "cosine": np.concatenate(c)})
 
-    met = _placed(df, item, vec, dim, limit, cell_rows, most_cells, block_rows)
+    rows = _usable(df, item, vec, dim)
+    met = _placed(rows, _pivots(rows, rows.count(), dim, cell_rows, most_cells), dim, limit, block_rows)
     return met.groupBy("cell", "x", "y").applyInArrow(run, "a long, b long, cosine double").dropDuplicates(["a", "b"])
 
 
 def similarity_components(
-    df: DataFrame, item: str, vec: str, dim: int, limit: float = 0.85, block_rows: int = 4096, cell_rows: int = 4096, most_cells: int = 1024
+    df: DataFrame, item: str, vec: str, dim: int, limit: float = 0.85, block_rows: int = 4096, cell_rows: int = 4096, most_cells: int = 1024,
+    most_places: float = 2.0,
 ) -> DataFrame:
     """(item, group_id, group_size): items joined by chains of pairs with a cosine of ``limit`` or more; items without a
-    usable vector are groups of one. A task gives a forest of its rows, one link a row at most, never its pairs."""
+    usable vector are groups of one. A task gives a forest of its rows, one link a row at most, never its pairs.
+
+    Where rows of a sample would have to go to more than ``most_places`` cells on average, nothing is sent to cells: see
+    ``_apart_links``. The result is the same."""
 
     def run(table: pa.Table) -> pa.Table:
         across = table["x"][0].as_py() != table["y"][0].as_py()
@@ -294,8 +532,15 @@ def similarity_components(
         at = np.flatnonzero(lab != np.arange(len(lab)))
         return pa.table({"a": ids[at], "b": ids[lab[at]]})
 
-    met = _placed(df, item, vec, dim, limit, cell_rows, most_cells, block_rows)
-    links = met.groupBy("cell", "x", "y").applyInArrow(run, "a long, b long")
+    rows = Scratch(df.sparkSession).keep(_usable(df, item, vec, dim))
+    total = rows.count()
+    pivots, drawn = _pivots(rows, total, dim, cell_rows, most_cells), None
+    if len(pivots) > 1:
+        drawn = _drawn(rows, total, 4096, dim)
+    if drawn and _near_cells(drawn[1], pivots, limit).sum() > most_places * len(drawn[0]):
+        links = _apart_links(rows, drawn, total, dim, limit, block_rows)
+    else:
+        links = _placed(rows, pivots, dim, limit, block_rows).groupBy("cell", "x", "y").applyInArrow(run, "a long, b long")
     found = connected_components(links, "a", "b").withColumnRenamed("node", item)
     tagged = df.select(F.col(item).cast("long").alias(item)).join(found, item, "left")
     tagged = tagged.select(item, F.coalesce("component", item).alias("group_id"))

@@ -196,6 +196,51 @@ def test_cells_lose_no_pair(spark, limit):
     assert groups == {**dict(enumerate(comp)), 900: 900, 901: 901, 902: 902, 903: 903}
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_components_of_scattered_rows_shuffle_no_copies(spark, kind):
+    """At 0.8 every row is near the border of every cell: rows were shuffled once a cell."""
+    rng = np.random.default_rng(12)
+    near = rng.standard_normal(32)
+    m = np.r_[rng.standard_normal((2600, 32)), near + 0.3 * rng.standard_normal((300, 32)), near + 0.7 * rng.standard_normal((100, 32))]
+    m[5:40] = m[4] + 0.4 * rng.standard_normal((35, 32))
+    m[50] = 1e3 * m[49]
+    m = m.astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], f"id long, vec array<{kind}>")
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    sent = lambda: spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    before = sent()
+    got = {r["id"]: r["group_id"] for r in grouping.similarity_components(df, "id", "vec", 32, 0.8, block_rows=500, cell_rows=100).collect()}
+    assert sent() - before < 4 * m.nbytes
+    assert got == dict(enumerate(_plain_components(np.round(u @ u.T, 9) >= 0.8)))
+
+
+def _plain_components(linked):
+    label = np.arange(len(linked))
+    while True:
+        least = np.where(linked, label[None, :], len(label)).min(axis=1)
+        least = np.minimum(label, least)
+        if (least == label).all():
+            return label.tolist()
+        label = least
+
+
+def test_rows_ask_the_balls_they_are_near(spark):
+    """Balls with rows just beyond their reach, two of them bridged by a row that is like members of both."""
+    rng = np.random.default_rng(3)
+    base = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    turn = lambda a, k, j: np.cos(np.radians(a)) * base[k] + np.sin(np.radians(a)) * base[j]
+    rows = [turn(a, 0, 1) for a in np.linspace(0, 12, 200)]  # linked from 0 to 12 degrees
+    rows += [turn(a, 0, 1) for a in np.linspace(84, 96, 200)]  # a second ball, too far from the first
+    rows += [turn(48, 0, 1), turn(-40, 0, 1), turn(36, 2, 3)] + [base[k] for k in range(2, 16)]
+    m = np.array(rows)
+    want = _plain_components(np.round(m @ m.T, 9) >= 0.8)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "id long, vec array<double>")
+    hubs = grouping._Hubs(np.arange(len(m)), m, 0.8, len(m), 64)
+    assert len(hubs.ids) == 2 and len(hubs.places(m)[2][0])
+    got = {r["id"]: r["group_id"] for r in grouping.similarity_components(df, "id", "vec", 16, 0.8, block_rows=64, cell_rows=40).collect()}
+    assert got == dict(enumerate(want)) and want[400] == want[0] == want[200]
+
+
 @pytest.mark.parametrize("broadcast", [100_000, 0])
 def test_nearest_of_some(spark, broadcast):
     m = _vectors()
