@@ -78,6 +78,11 @@ def _leaf_of(tree: _Tree, dim: int):
     return run
 
 
+def _places(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero of a matrix, several times as fast where few are true: the flat search skips what is false by words."""
+    return np.divmod(np.flatnonzero(hit), max(1, hit.shape[1]))
+
+
 def _verified(u: np.ndarray, p: np.ndarray, asks: np.ndarray, radius: np.ndarray, k: int, limit: float, reach: float, first: int = 64):
     """(i, j, cosine) of the pairs verified for the rows ``asks``: neighbours in rings of growing projected distance d, as
     far as d * d is at most ``reach`` times the square of the distance to the k-th one so far (``radius`` at the start).
@@ -111,14 +116,14 @@ def _verified(u: np.ndarray, p: np.ndarray, asks: np.ndarray, radius: np.ndarray
         hit = near >= bound[:, None]
         many = np.flatnonzero(np.count_nonzero(hit, axis=1) > first)
         hit[many] = False
-        i, j = np.nonzero(hit)
+        i, j = _places(hit)
         verify(rows[i], j)
         if not len(many):
             continue
         near, bound, rows = near[many], bound[many], rows[many]
         place = max(1, first // apart) - 1  # of the about first-nearest in every apart-th column
         edge = -np.partition(-near[:, ::apart], place, axis=1)[:, place]
-        i, j = np.nonzero(near >= np.maximum(edge, bound)[:, None])
+        i, j = _places(near >= np.maximum(edge, bound)[:, None])
         ok, c = verify(rows[i], j)
         i, c = i[ok], c[ok]
         order = np.lexsort((-c, i))
@@ -129,14 +134,14 @@ def _verified(u: np.ndarray, p: np.ndarray, asks: np.ndarray, radius: np.ndarray
         left_over = np.count_nonzero(hit, axis=1)
         dense = np.flatnonzero(left_over > 8 * first)
         hit[dense] = False
-        i, j = np.nonzero(hit)
+        i, j = _places(hit)
         verify(rows[i], j)
         if len(dense):
             sim = small[rows[dense]] @ small.T
             sim[np.arange(len(dense)), rows[dense]] = -2.0
             top = min(k, len(small)) - 1
             last = -np.partition(-sim, top, axis=1)[:, top]
-            i, j = np.nonzero(sim >= np.maximum(last - SLACK, limit - SLACK)[:, None])
+            i, j = _places(sim >= np.maximum(last - SLACK, limit - SLACK)[:, None])
             verify(rows[dense[i]], j)
     empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
     return tuple(np.concatenate(x) for x in zip(*(pairs or [empty])))
